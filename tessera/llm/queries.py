@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, packing, sharding
+from tessera.llm import bpe, linededup, media, packing, sharding
 from tessera.llm.common import read
 
 
@@ -14,6 +14,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +37,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_media_jpeg": op2_media_jpeg,
+        "op5_line_dedup": op5_line_dedup,
         "op8_packing": op8_packing,
         "op9_byte_bpe": op9_byte_bpe,
     }
