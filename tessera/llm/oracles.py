@@ -18,6 +18,18 @@ def op1_sharding() -> str:
         FROM placed"""
 
 
+OP4_WARC = """
+    WITH payloads AS (
+        SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+        FROM pages),
+    firsts AS (
+        SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+        FROM payloads)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id > first THEN first END AS refers_to
+    FROM firsts"""
+
 OP5_LINE_DEDUP = """
     WITH lines AS (
         SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
@@ -36,4 +48,4 @@ OP5_LINE_DEDUP = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sharding(), "op5_line_dedup": OP5_LINE_DEDUP}
+    return {"op1_sharding": op1_sharding(), "op4_warc_zstd": OP4_WARC, "op5_line_dedup": OP5_LINE_DEDUP}

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, linededup, media, packing, sharding
-from tessera.llm.common import read
+from tessera.llm import bpe, linededup, media, packing, sharding, warc
+from tessera.llm.common import materialise, read
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialise(warc.write_archives(read(spark, sf_dir, "pages")), "warc", compression="none")
+    return warc.read_archives(archives, payloads=False).drop("url")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_documents(read(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_media_jpeg": op2_media_jpeg,
+        "op4_warc_zstd": op4_warc_zstd,
         "op5_line_dedup": op5_line_dedup,
         "op8_packing": op8_packing,
         "op9_byte_bpe": op9_byte_bpe,
