@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, linededup, media, packing, sharding, warc
+from tessera.llm import ann, bpe, linededup, media, packing, sharding, warc
 from tessera.llm.common import materialise, read
 
 
@@ -27,6 +28,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_collision_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_jpeg": op2_media_jpeg,
         "op4_warc_zstd": op4_warc_zstd,
         "op5_line_dedup": op5_line_dedup,
+        "op6_collision_knn": op6_collision_knn,
         "op8_packing": op8_packing,
         "op9_byte_bpe": op9_byte_bpe,
     }
