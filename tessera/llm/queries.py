@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, linededup, media, packing, sharding, warc
+from tessera.llm import ann, bpe, linededup, media, packing, sharding, toxicity, warc
 from tessera.llm.common import materialise, read
 
 
@@ -19,6 +19,10 @@ def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialise(warc.write_archives(read(spark, sf_dir, "pages")), "warc", compression="none")
     return warc.read_archives(archives, payloads=False).drop("url")
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_media_jpeg": op2_media_jpeg,
+        "op3_toxicity": op3_toxicity,
         "op4_warc_zstd": op4_warc_zstd,
         "op5_line_dedup": op5_line_dedup,
         "op6_collision_knn": op6_collision_knn,
