@@ -47,5 +47,30 @@ OP5_LINE_DEDUP = """
     FROM marked GROUP BY doc_id"""
 
 
+OP7_JACCARD = r"""
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents),
+    grams AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+        FROM worded),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT x, y, m = sx.n AND m = sy.n AS equal FROM common JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y
+        WHERE 9 * m >= 4 * (sx.n + sy.n)
+        UNION ALL
+        SELECT a.doc_id, b.doc_id, true FROM worded a JOIN worded b ON a.doc_id <> b.doc_id AND len(a.w) = 0 AND len(b.w) = 0),
+    reach AS (
+        SELECT doc_id, doc_id AS root FROM documents
+        UNION
+        SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.doc_id),
+    roots AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id),
+    counted AS (SELECT x, count(*) AS n, min(CASE WHEN equal THEN y END) AS copy FROM links GROUP BY x)
+    SELECT r.doc_id, least(r.doc_id, coalesce(c.copy, r.doc_id)) AS copy_id, r.class_id, coalesce(c.n, 0) AS n_links
+    FROM roots r LEFT JOIN counted c ON c.x = r.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sharding(), "op4_warc_zstd": OP4_WARC, "op5_line_dedup": OP5_LINE_DEDUP}
+    return {"op1_sharding": op1_sharding(), "op4_warc_zstd": OP4_WARC, "op5_line_dedup": OP5_LINE_DEDUP, "op7_jaccard_forest": OP7_JACCARD}

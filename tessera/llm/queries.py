@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, linededup, media, packing, sharding, toxicity, warc
+from tessera.llm import ann, bpe, linededup, media, neardup, packing, sharding, toxicity, warc
 from tessera.llm.common import materialise, read
 
 
@@ -36,6 +36,10 @@ def op6_collision_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc_zstd": op4_warc_zstd,
         "op5_line_dedup": op5_line_dedup,
         "op6_collision_knn": op6_collision_knn,
+        "op7_jaccard_forest": op7_jaccard_forest,
         "op8_packing": op8_packing,
         "op9_byte_bpe": op9_byte_bpe,
     }
