@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, linededup, media, neardup, packing, sharding, toxicity, warc
+from tessera.llm import ann, bpe, linededup, lm, media, neardup, packing, sharding, toxicity, warc
 from tessera.llm.common import materialise, read
 
 
@@ -52,6 +52,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_jaccard_forest": op7_jaccard_forest,
         "op8_packing": op8_packing,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_gru_lm": op10_gru_lm,
     }
 
 
