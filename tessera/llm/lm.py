@@ -38,6 +38,8 @@ from tessera.llm.common import held_out, materialise
 
 WORDS, TAIL, HEAD = 4096, 64, 150_000
 ROUNDS, START_DOCUMENTS = 2, 300
+#: A task goes over its part of a small corpus again, until the passes give about so many symbols.
+PASS_SYMBOLS, MOST_PASSES = 2_500_000, 8
 FOLD = 1
 #: Distinct words a counting task holds before it hands them on; symbols that lie in lanes at once.
 HELD_WORDS, HELD_SYMBOLS = 400_000, 1_500_000
@@ -114,7 +116,7 @@ def gather_symbols(counts: DataFrame, documents: int) -> Symbols:
     return Symbols(head, documents, {k: (n, v) for k, (n, v) in tails.items()})
 
 
-def train_round(docs: DataFrame, symbols, weights: dict[str, np.ndarray], edges: np.ndarray, rate: float) -> dict[str, np.ndarray]:
+def train_round(docs: DataFrame, symbols, weights: dict[str, np.ndarray], edges: np.ndarray, rate: float, passes: int = 1) -> dict[str, np.ndarray]:
     """Weights after every task has trained on its part of ``docs``, averaged by tokens."""
     held = docs.sparkSession.sparkContext.broadcast((weights, edges))
 
@@ -125,7 +127,8 @@ def train_round(docs: DataFrame, symbols, weights: dict[str, np.ndarray], edges:
         for texts in grouped(batches):
             encoded = [symbols.value.encode(words_of(t)) for t in texts]
             seen += sum(map(len, encoded))
-            model.train(encoded, rate)
+            for _ in range(passes):
+                model.train(encoded, rate)
         if seen:
             values = gru.flat(model.p).astype(np.float64) * seen
             pieces = [values[a : a + PIECE] for a in range(0, len(values), PIECE)]
@@ -176,9 +179,10 @@ def learn(docs: DataFrame, counts: DataFrame, documents: int) -> tuple[Symbols,
         model.train([symbols.encode(words_of(t)) for t in first])
         weights = model.p
         shared = docs.sparkSession.sparkContext.broadcast(symbols)
+        passes = min(MOST_PASSES, max(1, PASS_SYMBOLS // max(1, symbols.tokens)))
         for k in range(ROUNDS):
             part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k)
-            weights = train_round(part, shared, weights, edges, gru.RATE / (k + 1))
+            weights = train_round(part, shared, weights, edges, gru.RATE / (k + 1), passes)
     return symbols, gru.Model(weights, edges)
 
 
