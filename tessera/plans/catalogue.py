@@ -1,35 +1,449 @@
-"""The engine's queries over the driver's tables, each with its DuckDB counterpart."""
+"""The engine's queries over the driver's tables, each with its DuckDB counterpart.
+
+``embeddings`` is read as a vector table: ``id`` is ``vec_id + 1`` (0 is reserved), ``tag`` one bit
+for the label. Distances are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import vector
+from tessera.functions import vector as V
+from tessera.kv import KVTable
+from tessera.operators import ivf, kmeans, search, topk
+from tessera.sources import store
+from tessera.streaming.topk import StreamingTopK
+from tessera.table import VectorTable
+from tessera.types import ImportMode, IndexType, Method
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+DIMS = 64
+
+VT = "vt AS (SELECT vec_id + 1 AS id, CAST(1::BIGINT << label AS BIGINT) AS tag, embedding::DOUBLE[] AS v FROM embeddings)"
+#: Scaled by the id, so that the three methods rank differently.
+VS = f"{VT}, vs AS (SELECT id, tag, list_transform(v, lambda x: CAST(CAST(x * (1 + (id - 1) % 5) AS FLOAT) AS DOUBLE)) AS v FROM vt)"
+SQL_DISTANCE = {Method.L2NORM: "list_distance({a}, {b})", Method.COSINE: "list_cosine_similarity({a}, {b})", Method.DOTP: "list_inner_product({a}, {b})"}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
 
-VT = "(SELECT vec_id + 1 AS id, CAST(1::BIGINT << label AS BIGINT) AS tag, embedding::DOUBLE[] AS v FROM embeddings)"
+    return add
 
 
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id`` (0 is reserved, so ids start at 1), ``tag`` (one bit for the label), ``vector``."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return df.select((F.col("vec_id") + 1).alias("id"), F.expr("shiftleft(1L, label)").alias("tag"), F.col("embedding").alias("vector"))
 
 
-def knn_l2_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vt = vector_table(spark, sf_dir)
-    q = vt.where("id = 1").select(F.col("vector").alias("q"))
-    d = F.round(vector.l2(F.col("vector"), F.col("q")), 6).alias("distance")
-    return vt.join(F.broadcast(q)).select("id", d).orderBy("distance", "id").limit(10)
+def scaled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = (1 + (F.col("id") - 1) % 5).cast("float")
+    return vector_table(spark, sf_dir).withColumn("vector", F.transform("vector", lambda x: x * by))
+
+
+def vector_of(table: DataFrame, id_: int) -> list[float]:
+    return list(table.where(F.col("id") == id_).first()["vector"])
+
+
+def rounded(c: Column) -> Column:
+    return F.round(c, search.PLACES)
+
+
+# Scalar functions: every row against the vector of id 1.
+
+
+def _scalar(name: str, f: Callable[[Column, Column], Column], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = scaled_table(spark, sf_dir)
+        one = search.query_literal(vector_of(table, 1))
+        return table.select("id", rounded(f(F.col("vector"), one)).alias("value"))
+
+    run.__name__ = name
+    query(f"WITH {VS} SELECT id, round({sql.format(a='v', b='(SELECT v FROM vs WHERE id = 1)')}, 6) AS value FROM vs")(run)
+
+
+_scalar("dist_l2", V.l2, "list_distance({a}, {b})")
+_scalar("dist_l2_squared", V.l2_squared, "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))")
+_scalar("dist_cosine", V.cosine, "list_cosine_similarity({a}, {b})")
+_scalar("dist_dot", V.dot, "list_inner_product({a}, {b})")
+_scalar("vec_norm", lambda a, b: V.norm(a), "sqrt(list_inner_product({a}, {a}))")
+
+
+@query(f"WITH {VS}, n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM vs) SELECT id, unnest(range(0, 64))::INTEGER AS pos, round(unnest(list_transform(v, lambda x: x / n)), 6) AS value FROM n")
+def vec_normalize(spark, sf_dir):
+    return scaled_table(spark, sf_dir).select("id", F.posexplode(V.normalize(F.col("vector"))).alias("pos", "x")).select("id", "pos", rounded(F.col("x")).alias("value"))
+
+
+@query(f"WITH {VT} SELECT id, CAST(0 AS DOUBLE) AS similarity FROM vt")
+def cosine_zero_norm(spark, sf_dir):
+    zero = F.array_repeat(F.lit(0.0).cast("float"), DIMS)
+    return vector_table(spark, sf_dir).select("id", V.cosine(F.col("vector"), zero).alias("similarity"))
+
+
+# Search.
+
+
+def _knn_sql(method: Method, k: int, q: int, where: str = "true", source: str = VS, table: str = "vs") -> str:
+    d = SQL_DISTANCE[method].format(a="v", b=f"(SELECT v FROM {table} WHERE id = {q})")
+    return f"WITH {source} SELECT id, round({d}, 6) AS distance FROM {table} WHERE {where} ORDER BY distance {'ASC' if method.smaller_is_better else 'DESC'}, id LIMIT {k}"
+
+
+def _knn(name: str, method: Method, k: int, q: int, tag: int = 0) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = scaled_table(spark, sf_dir)
+        return VectorTable(spark, DIMS, method, snapshot=rows).search(vector_of(rows, q), k, tag)
+
+    run.__name__ = name
+    query(_knn_sql(method, k, q, f"(tag & {tag}) <> 0" if tag else "true"))(run)
+
+
+_knn("knn_l2_top10", Method.L2NORM, 10, 1)
+_knn("knn_cosine_top10", Method.COSINE, 10, 7)
+_knn("knn_dot_top10", Method.DOTP, 10, 42)
+_knn("knn_top1", Method.L2NORM, 1, 42)
+_knn("knn_tag_any_bit", Method.L2NORM, 10, 1, tag=6)
+
+
+def _padded_sql(inner: str, k: int, worst: float) -> str:
+    return f"WITH hits AS ({inner}), placed AS (SELECT row_number() OVER (ORDER BY distance, id) AS pos, * FROM hits) SELECT CAST(r.pos AS INTEGER) AS pos, coalesce(id, 0) AS id, distance FROM (SELECT unnest(range(1, {k + 1})) AS pos) r LEFT JOIN placed p ON p.pos = r.pos"
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    """Infinity is kept out of results that are compared."""
+    return df.withColumn("distance", F.when(F.abs("distance") < float("inf"), F.col("distance")))
+
+
+@query(_padded_sql(_knn_sql(Method.L2NORM, 5, 1, "(tag & 1048576) <> 0"), 5, 0))
+def knn_tag_no_match_padded(spark, sf_dir):
+    rows = scaled_table(spark, sf_dir)
+    return _finite(VectorTable(spark, DIMS, Method.L2NORM, snapshot=rows).search(vector_of(rows, 1), 5, 1 << 20, pad=True))
+
+
+@query(_padded_sql(_knn_sql(Method.L2NORM, 30, 1, "id <= 20"), 30, 0))
+def knn_padded(spark, sf_dir):
+    rows = scaled_table(spark, sf_dir)
+    return _finite(VectorTable(spark, DIMS, Method.L2NORM, snapshot=rows.where("id <= 20")).search(vector_of(rows, 1), 30, pad=True))
+
+
+def _batch(name: str, method: Method) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = scaled_table(spark, sf_dir)
+        return VectorTable(spark, DIMS, method, snapshot=rows).search_batch(rows.where("id <= 50"), 10)
+
+    run.__name__ = name
+    d = SQL_DISTANCE[method].format(a="t.v", b="q.v")
+    query(
+        f"WITH {VS}, scored AS (SELECT q.id AS query_id, t.id AS id, round({d}, 6) AS distance FROM vs t, vs q WHERE q.id <= 50), "
+        f"ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance {'ASC' if method.smaller_is_better else 'DESC'}, id) AS INTEGER) AS rank, id, distance FROM scored) SELECT * FROM ranked WHERE rank <= 10"
+    )(run)
+
+
+_batch("knn_batch_l2", Method.L2NORM)
+_batch("knn_batch_cosine", Method.COSINE)
+_batch("knn_batch_dot", Method.DOTP)
+
+SUBSET = [1, 7, 7, 99_999, 42, 13]
+_SUBSET_SQL = f"WITH {VS}, ids AS (SELECT unnest({SUBSET}) AS id) SELECT vs.id, round(list_distance(v, (SELECT v FROM vs WHERE id = 3)), 6) AS distance FROM vs JOIN ids USING (id) ORDER BY distance, id LIMIT 10"
+
+
+@query(_SUBSET_SQL)
+def filter_subset_l2(spark, sf_dir):
+    rows = scaled_table(spark, sf_dir)
+    return VectorTable(spark, DIMS, snapshot=rows).filter_subset(SUBSET, vector_of(rows, 3), 10)
+
+
+@query(_padded_sql(_SUBSET_SQL, 10, 0))
+def filter_subset_padded(spark, sf_dir):
+    rows = scaled_table(spark, sf_dir)
+    return _finite(VectorTable(spark, DIMS, snapshot=rows).filter_subset(SUBSET, vector_of(rows, 3), 10, pad=True))
+
+
+@query(f"WITH {VT}, ids AS (SELECT unnest(range(0, 1000, 7)) AS id) SELECT id FROM ids WHERE id IN (SELECT id FROM vt)")
+def id_contains(spark, sf_dir):
+    return VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).contains_batch(spark.range(0, 1000, 7))
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def table_size(spark, sf_dir):
+    return vector_table(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {VT} SELECT tag, count(*) AS n FROM vt GROUP BY tag")
+def tag_histogram(spark, sf_dir):
+    return vector_table(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+# Changes: a log whose operations depend on the id. The oracle writes out what must be left.
+
+
+def changed_table(spark: SparkSession, sf_dir: str) -> VectorTable:
+    """Ids 1-200 are there; 101-300 are inserted (those up to 200 in vain), every third is
+    deleted, every sixth inserted again with the tag 1024, every fifth gets the tag 2048."""
+    rows = vector_table(spark, sf_dir)
+    table = VectorTable(spark, DIMS, snapshot=rows.where("id <= 200"))
+    step = lambda op, where, offset, tag=F.col("tag"): rows.where("id <= 300").where(where).select((F.col("id") + offset).alias("seq"), F.lit(op).alias("op"), "id", tag.cast("long").alias("tag"), F.transform("vector", lambda x: -x).alias("vector"))
+    log = step("i", "id > 100", 0).union(step("d", "id % 3 = 0", 1000)).union(step("i", "id % 6 = 0", 2000, F.lit(1024))).union(step("t", "id % 5 = 0", 3000, F.lit(2048)))
+    table.outcome = table.apply(log)
+    return table
+
+
+_CHANGED = f"""WITH {VT}, final AS (
+    SELECT id, CASE WHEN id % 5 = 0 THEN 2048 WHEN id % 6 = 0 THEN 1024 ELSE tag END AS tag,
+           CASE WHEN id > 200 OR id % 6 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v
+    FROM vt WHERE id <= 300 AND (id % 3 <> 0 OR id % 6 = 0))"""
+
+
+@query(f"{_CHANGED} SELECT id, CAST(tag AS BIGINT) AS tag, round(list_sum(v), 6) AS total FROM final")
+def table_after_changes(spark, sf_dir):
+    state = changed_table(spark, sf_dir).state()
+    return state.select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query(f"{_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = 1)), 6) AS distance FROM final ORDER BY distance, id LIMIT 10")
+def delete_then_search(spark, sf_dir):
+    return changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), 1), 10)
+
+
+@query(f"{_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = 6)), 6) AS distance FROM final WHERE (tag & 1024) <> 0 ORDER BY distance, id LIMIT 10")
+def delete_then_reinsert(spark, sf_dir):
+    return changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), 6), 10, tag=1024)
+
+
+@query(f"{_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = 5)), 6) AS distance FROM final WHERE (tag & 2048) <> 0 ORDER BY distance, id LIMIT 10")
+def set_tag_then_search(spark, sf_dir):
+    return changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), 5), 10, tag=2048)
+
+
+@query(
+    f"""WITH {VT}, ids AS (SELECT id FROM vt WHERE id <= 300)
+    SELECT 'i' AS op, CASE WHEN id <= 200 THEN 'DUPLICATED_ENTRY' ELSE 'SUCCESS' END AS outcome, count(*) AS n FROM ids WHERE id > 100 GROUP BY ALL
+    UNION ALL SELECT 'd', 'SUCCESS', count(*) FROM ids WHERE id % 3 = 0
+    UNION ALL SELECT 'i2', 'SUCCESS', count(*) FROM ids WHERE id % 6 = 0
+    UNION ALL SELECT 't', CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 'NOT_FOUND_ID' ELSE 'SUCCESS' END, count(*) FROM ids WHERE id % 5 = 0 GROUP BY ALL"""
+)
+def insert_rejects_duplicates(spark, sf_dir):
+    outcome = changed_table(spark, sf_dir).outcome
+    return outcome.groupBy(F.when((F.col("op") == "i") & (F.col("seq") > 2000), "i2").otherwise(F.col("op")).alias("op"), "outcome").agg(F.count("*").alias("n"))
+
+
+def _import(spark: SparkSession, sf_dir: str, mode: ImportMode) -> DataFrame:
+    rows = vector_table(spark, sf_dir)
+    table = VectorTable(spark, DIMS, snapshot=rows.where("id <= 100"))
+    incoming = rows.where("id <= 20 OR id BETWEEN 101 AND 150").withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("tag", F.lit(512).cast("long"))
+    table.import_rows(incoming, mode)
+    return table.state().select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
 
+_IMPORT = f"WITH {VT} SELECT id, CAST(CASE WHEN {{new}} THEN 512 ELSE tag END AS BIGINT) AS tag, round(list_sum(CASE WHEN {{new}} THEN list_transform(v, lambda x: -x) ELSE v END), 6) AS total FROM vt WHERE id <= 150"
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"knn_l2_top10": knn_l2_top10}
+
+@query(_IMPORT.format(new="(id <= 20 OR id > 100)"))
+def import_overwrite(spark, sf_dir):
+    return _import(spark, sf_dir, ImportMode.OVERWRITE)
+
+
+@query(_IMPORT.format(new="(id > 100)"))
+def import_ignore(spark, sf_dir):
+    return _import(spark, sf_dir, ImportMode.IGNORE)
+
+
+_ROWS = f"WITH {VT} SELECT id, tag, round(list_sum(v), 6) AS total FROM vt"
+
+
+@query(_ROWS)
+def export_roundtrip(spark, sf_dir):
+    path = store.scratch(spark, "export")
+    VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).export(path)
+    table = VectorTable(spark, DIMS)
+    table.import_path(path)
+    return table.state().select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query(_ROWS)
+def save_load_roundtrip(spark, sf_dir):
+    path = store.scratch(spark, "table")
+    VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).save(path)
+    return VectorTable.load(spark, path).state().select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("SELECT field, value FROM (VALUES ('dims', '64'), ('kind', '\"table\"'), ('method', '\"COSINE\"'), ('params', '{\"M0\": 32, \"ef_construct\": 220, \"ef_search\": 110}'), ('type', '\"hnsw\"')) t(field, value)")
+def table_metadata(spark, sf_dir):
+    path = store.scratch(spark, "meta")
+    VectorTable(spark, DIMS, Method.COSINE, IndexType.HNSW_INDEX, vector_table(spark, sf_dir)).save(path)
+    return store.inspect(spark, path)
+
+
+# Running top-k.
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scaled_table(spark, sf_dir)
+    return rows.select("id", rounded(V.l2(F.col("vector"), search.query_literal(vector_of(rows, 1)))).alias("distance"))
+
+
+@query(_knn_sql(Method.L2NORM, 10, 1))
+def topk_merge(spark, sf_dir):
+    rows = _distances(spark, sf_dir)
+    return topk.merge([rows.where(F.col("id") % 4 == k) for k in range(4)], 10, Method.L2NORM)
+
+
+@query(_knn_sql(Method.L2NORM, 10**9, 1))
+def topk_sort_all(spark, sf_dir):
+    return topk.TopK(-1, Method.L2NORM).update(_distances(spark, sf_dir)).close()
+
+
+@query(_knn_sql(Method.L2NORM, 10, 1))
+def topk_merge_streaming(spark, sf_dir):
+    path = store.scratch(spark, "stream")
+    _distances(spark, sf_dir).repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("id long, distance double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    top = StreamingTopK(spark, f"{path}/state", 10, Method.L2NORM)
+    top.start(stream, f"{path}/checkpoint").awaitTermination()
+    return top.result()
+
+
+# Clustering.
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    return rows.where("id <= 8").select(F.col("id").cast("int").alias("cid"), F.col("vector").alias("centroid"))
+
+
+_NEAREST = f"""WITH {VS}, scored AS (
+    SELECT t.id, CAST(c.id AS INTEGER) AS cid, round(list_sum(list_transform(list_zip(t.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 12) AS d, t.v FROM vs t, vs c WHERE c.id <= 8),
+    near AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cid) = 1)"""
+
+
+@query(f"{_NEAREST} SELECT id, cid, round(d, 6) AS distance2 FROM near")
+def kmeans_assign(spark, sf_dir):
+    rows = scaled_table(spark, sf_dir)
+    return kmeans.assign(rows, _centres(rows)).select("id", "cid", rounded(F.col("distance2")).alias("distance2"))
+
+
+@query(f"{_NEAREST}, spread AS (SELECT cid, unnest(range(0, 64))::INTEGER AS pos, unnest(v) AS x FROM near) SELECT cid, pos, round(avg(x), 6) AS mean FROM spread GROUP BY cid, pos")
+def kmeans_lloyd_step(spark, sf_dir):
+    rows = scaled_table(spark, sf_dir)
+    return kmeans.lloyd_step(rows, _centres(rows)).select("cid", "pos", rounded(F.col("mean")).alias("mean"))
+
+
+@query(f"{_NEAREST} SELECT id, round(d, 6) AS distance2 FROM near")
+def kmeans_seed_weights(spark, sf_dir):
+    rows = scaled_table(spark, sf_dir)
+    return kmeans.seed_weights(rows, _centres(rows)).select("id", rounded(F.col("distance2")).alias("distance2"))
+
+
+@query()
+def kmeans_centroids(spark, sf_dir):
+    table = VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).kmeans_centroids(8, max_iterations=20)
+    return table.state().select("id", "tag", "vector")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> ivf.CellIndex:
+    return ivf.CellIndex.build(scaled_table(spark, sf_dir), store.scratch(spark, "cells"), 8, max_iterations=5)
+
+
+@query(_knn_sql(Method.L2NORM, 10, 42))
+def ivf_search_all_cells(spark, sf_dir):
+    return _cells(spark, sf_dir).search(vector_of(scaled_table(spark, sf_dir), 42), 10, probes=8)
+
+
+@query()
+def ivf_search_nprobe(spark, sf_dir):
+    return _cells(spark, sf_dir).search(vector_of(scaled_table(spark, sf_dir), 42), 10, probes=3)
+
+
+@query(_knn_sql(Method.L2NORM, 10, 42, "(tag & 6) <> 0"))
+def ivf_search_tagged(spark, sf_dir):
+    return _cells(spark, sf_dir).search(vector_of(scaled_table(spark, sf_dir), 42), 10, tag=6)
+
+
+# Key-value tables.
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> KVTable:
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").cast("binary").alias("key"), F.col("html").cast("binary").alias("value"))
+    return KVTable(spark, "pages", rows)
+
+
+def customer_table(spark: SparkSession, sf_dir: str) -> KVTable:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").cast("binary").alias("key"), F.col("c_mktsegment").cast("binary").alias("value"))
+    return KVTable(spark, "customers", rows)
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in ("key", "value") if c in df.columns})
+
+
+@query("WITH k AS (SELECT url FROM pages WHERE page_id % 3 = 0) SELECT url AS key, md5(html) AS digest FROM pages WHERE url IN (SELECT url FROM k)")
+def kv_get(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 3 = 0").select(F.col("url").alias("key"))
+    return page_table(spark, sf_dir).get_batch(keys).select(F.col("key").cast("string").alias("key"), F.md5("value").alias("digest"))
+
+
+@query("SELECT key, c_mktsegment AS value FROM (VALUES ('no such key'), ('Customer#000000001'), ('')) k(key) LEFT JOIN customer ON c_name = key")
+def kv_get_missing(spark, sf_dir):
+    keys = spark.createDataFrame([("no such key",), ("Customer#000000001",), ("",)], "key string")
+    return shown(customer_table(spark, sf_dir).get_batch(keys))
+
+
+@query("SELECT c_name AS key, CASE WHEN c_custkey % 10 = 0 THEN 'twice' WHEN c_custkey % 5 = 0 THEN 'once' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT 'new-' || c_custkey, c_mktsegment FROM customer WHERE c_custkey <= 20")
+def kv_put_upsert(spark, sf_dir):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    table = customer_table(spark, sf_dir)
+    batch = customer.where("c_custkey % 5 = 0").select("c_custkey", F.col("c_name").alias("key"), F.lit("once").alias("value"))
+    batch = batch.union(customer.where("c_custkey % 10 = 0").select(F.col("c_custkey") + 10_000_000, "c_name", F.lit("twice")))
+    batch = batch.union(customer.where("c_custkey <= 20").select(F.col("c_custkey"), F.concat(F.lit("new-"), "c_custkey"), "c_mktsegment"))
+    table.put_batch(batch.withColumnRenamed("c_custkey", "seq"))
+    return shown(table.state())
+
+
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name <> (SELECT min(c_name) FROM customer)")
+def kv_del(spark, sf_dir):
+    table = customer_table(spark, sf_dir)
+    table.delete(bytes(table.state().agg(F.min("key")).first()[0]))
+    return shown(table.state())
+
+
+@query("SELECT url AS key, CAST(strlen(url) AS INTEGER) AS klen, CAST(strlen(html) AS INTEGER) AS vlen FROM pages WHERE starts_with(url, 'https://www')")
+def kv_prefix_scan(spark, sf_dir):
+    return shown(page_table(spark, sf_dir).prefix_scan(b"https://www")).drop("value")
+
+
+@query("SELECT url AS key, CAST(strlen(url) AS INTEGER) AS klen, CAST(strlen(html) AS INTEGER) AS vlen FROM pages WHERE starts_with(url, 'http://') ORDER BY url LIMIT 10")
+def kv_prefix_scan_limit(spark, sf_dir):
+    return shown(page_table(spark, sf_dir).prefix_scan(b"http://", 10)).drop("value")
+
+
+@query("SELECT url AS key, CAST(strlen(url) AS INTEGER) AS klen, CAST(strlen(html) AS INTEGER) AS vlen FROM pages")
+def kv_scan_all(spark, sf_dir):
+    return shown(page_table(spark, sf_dir).prefix_scan(b"*")).drop("value")
+
+
+@query("SELECT count(*) AS n FROM customer")
+def kv_size(spark, sf_dir):
+    return customer_table(spark, sf_dir).state().agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_name AS key, c_mktsegment AS value FROM customer")
+def kv_roundtrip(spark, sf_dir):
+    path = store.scratch(spark, "kv")
+    customer_table(spark, sf_dir).save(path)
+    return shown(KVTable.load(spark, path).state())
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "knn_l2_top10": f"WITH vt AS {VT} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = 1)), 6) AS distance FROM vt ORDER BY distance, id LIMIT 10"
-    }
+    return dict(ORACLES)
+
