@@ -319,6 +319,13 @@ def _ac_refine(bits: Bits, blocks: np.ndarray, order: np.ndarray, first: int, la
 
 
 def decode(stream: bytes) -> Picture:
+    try:
+        return _decode(stream)
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError("a segment is cut short or lacks what it names") from e
+
+
+def _decode(stream: bytes) -> Picture:
     if stream[:2] != b"\xff\xd8":
         raise ValueError("no JPEG stream")
     at, picture, tables = 2, None, {}
