@@ -160,7 +160,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [
         seed / n * 1000, seed, learned / n * 1000, learned, len(hit_kinds), weight, near, len(persons) / n * 1000,
         count(upper) / size, shouted / n, text.count("!") / size * 1000, text.count("?") / size * 1000, count(kind & ASCII_SYMBOL) / size,
-        len(odd) / n, sum(map(bad, undone)), sum(map(bad, spaced)), count(letter[:-2] & mark[1:-1] & mark[2:]) / n, sum(map(len, words)) / n, 1 - len(kinds) / n, float(np.log1p(len(words))),
+        len(odd) / n, sum(map(bad, undone)), sum(map(bad, spaced)), count(letter[:-2] & mark[1:-1] & mark[2:]) / n, sum(map(len, words)) / n, (len(words) - len(kinds)) / n, float(np.log1p(len(words))),
     ]
 
 
@@ -191,6 +191,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     base = float(np.log(share / (1 - share)))
     raw = np.full(len(y), base)
     inner = 2**DEPTH - 1
+    least = min(LEAST_ROWS, max(2, int(min(y.sum(), len(y) - y.sum())) // 4))  # fewer, where one class is rare
     features_, cuts_, leaves = [], [], []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-raw))
@@ -206,7 +207,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
                 gl, hl, nl = (s[:, : len(c)] for s in sums)
                 ga, ha, na = (s[:, -1:] for s in sums)
                 gain = gl**2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga**2 / (ha + 1)
-                gain[(nl < LEAST_ROWS) | (na - nl < LEAST_ROWS)] = 0
+                gain[(nl < least) | (na - nl < least)] = 0
                 at = gain.argmax(1)
                 top = gain[np.arange(many), at]
                 for k in np.flatnonzero(top > best):
