@@ -6,6 +6,7 @@ nearest to the query, by a static filter on the partition column, so that other
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,13 +38,11 @@ class CellIndex:
         centres = kmeans.centroids(table, cells, **options)
         placed = kmeans.assign(table, centres.select(F.col("id").cast("int").alias("cid"), F.col("vector").alias("centroid")))
         # One cell may hold very many rows: a salt by id spreads it over several files.
-        rows = placed.select("id", "vector", "cid").join(table.select("id", "tag"), "id").repartition("cid", F.pmod(F.xxhash64("id"), F.lit(4)))
+        rows = placed.select("id", "tag", "vector", "cid").repartition("cid", F.pmod(F.xxhash64("id"), F.lit(4)))
         rows.write.mode("overwrite").partitionBy("cid").parquet(f"{path}/rows")
         sizes = {str(r["cid"]): r["count"] for r in table.sparkSession.read.parquet(f"{path}/rows").groupBy("cid").count().collect()}
         listed = [list(r["vector"]) for r in centres.orderBy("id").collect()]
         meta = {"kind": "cells", "centroids": listed, "sizes": sizes, "probes": probes}
-        import json
-
         table.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         return cls(table.sparkSession, path)
 

@@ -18,11 +18,11 @@ from tessera.types import InvalidArgument
 
 
 def assign(table: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``id``, ``cid``, ``distance2``: the nearest centroid (``cid``, ``centroid``) by squared
-    distance, the smaller ``cid`` of equal ones. The k centroids go along as one array."""
+    """``table`` with ``cid`` and ``distance2``: the nearest centroid (``cid``, ``centroid``) by
+    squared distance, the smaller ``cid`` of equal ones. The k centroids go along as one array."""
     packed = centroids.agg(F.sort_array(F.collect_list(F.struct("cid", "centroid"))).alias("cs"))
     near = F.array_min(F.transform("cs", lambda c: F.struct(F.round(V.l2_squared(F.col("vector"), c["centroid"]), 12).alias("d"), c["cid"].alias("cid"))))
-    return table.join(F.broadcast(packed)).select("id", "vector", near.alias("near")).select("id", "vector", "near.cid", F.col("near.d").alias("distance2"))
+    return table.join(F.broadcast(packed)).select(*table.columns, near.alias("near")).select(*table.columns, "near.cid", F.col("near.d").alias("distance2"))
 
 
 def lloyd_step(table: DataFrame, centroids: DataFrame) -> DataFrame:

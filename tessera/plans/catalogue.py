@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
+from tessera.functions.sql import register
 from tessera.kv import KVTable
 from tessera.operators import ivf, kmeans, search, topk
 from tessera.sources import store
@@ -89,6 +90,19 @@ def cosine_zero_norm(spark, sf_dir):
     return vector_table(spark, sf_dir).select("id", V.cosine(F.col("vector"), zero).alias("similarity"))
 
 
+@query(
+    f"WITH {VS}, one AS (SELECT v AS w FROM vs WHERE id = 1) SELECT id, round(list_distance(v, w), 6) AS l2, round(list_cosine_similarity(v, w), 6) AS cosine, round(list_inner_product(v, w), 6) AS dot FROM vs, one"
+)
+def sql_functions(spark, sf_dir):
+    register(spark)
+    scaled_table(spark, sf_dir).createOrReplaceTempView("tessera_scaled")
+    return spark.sql(
+        """WITH one AS (SELECT vector AS w FROM tessera_scaled WHERE id = 1)
+        SELECT /*+ BROADCAST(one) */ id, round(vector_l2(vector, w), 6) AS l2, round(vector_cosine(vector, w), 6) AS cosine, round(vector_dot(vector, w), 6) AS dot
+        FROM tessera_scaled CROSS JOIN one"""
+    )
+
+
 # Search.
 
 
