@@ -4,7 +4,8 @@ Symbols are ordered by frequency and cut into classes of contiguous ranges with
 the square roots of their counts; a symbol's probability is its class's times its own within the
 class. Training is truncated backpropagation: windows of ``STEPS`` symbols, through which the state
 is carried but not the gradient. Texts lie one after another in lanes; the state starts anew with
-each text, so that a text's log-likelihood never depends on its neighbours.
+each text, so that a text's log-likelihood never depends on its neighbours. For training, texts are
+cut into ``SEGMENT`` symbols, which keeps lanes of one length; for scoring they stay whole.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import heapq
 
 import numpy as np
 
-HIDDEN, EMBEDDING, CLASSES = 32, 24, 64
+HIDDEN, EMBEDDING, CLASSES = 24, 16, 32
 #: Lanes are fewer where there is little text, so that weights are updated often enough.
-LANES, LEAST_LANES, STEPS, LANE_SYMBOLS = 256, 16, 16, 4096
+LANES, LEAST_LANES, STEPS, LANE_SYMBOLS, SEGMENT = 256, 16, 16, 4096, 1024
+#: Windows of a scoring pass hold about so many symbols, and at most so many steps.
+SCORED_SYMBOLS, SCORED_STEPS = 4_096, 512
 RATE, CLIP = 4e-3, 1.0
 NAMES = ("embedding", "input", "bias", "recurrent", "class_w", "class_b", "word_w", "word_b")
 
@@ -32,12 +35,13 @@ def initial(counts: np.ndarray, edges: np.ndarray, seed: int = 5) -> dict[str, n
     start of a text."""
     symbols, classes = len(counts), len(edges) - 1
     mass = np.maximum(counts, 0.5)
+    by_class = np.add.reduceat(mass, edges[:-1])
     rng = np.random.default_rng(seed)
     draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
     zero = lambda *shape: np.zeros(shape, np.float32)
     return {
         "embedding": draw(symbols + 1, EMBEDDING, by=0.3), "input": draw(EMBEDDING, 3 * HIDDEN, by=EMBEDDING**-0.5), "bias": zero(3 * HIDDEN), "recurrent": draw(HIDDEN, 3 * HIDDEN, by=HIDDEN**-0.5),
-        "class_w": draw(HIDDEN, classes, by=0.05), "class_b": np.log(np.add.reduceat(mass, edges[:-1])).astype(np.float32), "word_w": draw(symbols, HIDDEN, by=0.05), "word_b": np.log(mass).astype(np.float32),
+        "class_w": draw(HIDDEN, classes, by=0.05), "class_b": np.log(by_class / mass.sum()).astype(np.float32), "word_w": draw(symbols, HIDDEN, by=0.05), "word_b": np.log(mass / np.repeat(by_class, np.diff(edges))).astype(np.float32),
     }
 
 
@@ -84,16 +88,31 @@ class Lanes:
                 self.owner[at:end, column] = k
                 at = end
 
-    def windows(self, steps: int = STEPS):
-        """(inputs, targets, first, owner) of the lanes that still go on."""
-        for at in range(0, len(self.inputs), steps):
+    def windows(self, steps: int | None = STEPS):
+        """(inputs, targets, first, owner) of the lanes that still go on; without ``steps`` the
+        windows are longer where lanes are few."""
+        at = 0
+        while at < len(self.inputs):
             wide = int((self.owner[at] >= 0).sum())
-            part = np.s_[at : at + steps, :wide]
+            end = at + (steps or min(SCORED_STEPS, max(STEPS, SCORED_SYMBOLS // wide)))
+            part = np.s_[at:end, :wide]
+            at = end
             yield self.inputs[part], self.targets[part], self.first[part], self.owner[part]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """By the exponential, which is much cheaper here than the hyperbolic tangent."""
+    e = np.exp(np.clip(x, -30, 30) * np.float32(-1))
+    e += 1
+    return np.reciprocal(e, out=e)
+
+
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of those. Biases begin as log shares, so that logits
+    lie near 0; the bound only guards single precision."""
+    np.clip(logits, -60, 60, out=logits)
+    e = np.exp(logits)
+    return logits, e, e @ np.ones((e.shape[1], 1), e.dtype)
 
 
 class Model:
@@ -118,7 +137,7 @@ class Model:
             u = h @ p["recurrent"]
             gates = _sigmoid(x[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            n = np.tanh(x[t, :, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
+            n = 2 * _sigmoid(2 * (x[t, :, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])) - 1
             if keep:
                 kept.append((h, z, r, n, u[:, 2 * HIDDEN :]))
             h = n + z * (h - n)
@@ -130,10 +149,7 @@ class Model:
         negative weighted sum."""
         p = self.p
         classes = self.class_of[targets]
-        logits = hidden @ p["class_w"] + p["class_b"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
+        logits, e, total = _softmax(hidden @ p["class_w"] + p["class_b"])
         rows = np.arange(len(targets))
         logp = logits[rows, classes] - np.log(total[:, 0])
         grads = d_hidden = None
@@ -151,10 +167,7 @@ class Model:
             if b - a == 1:
                 continue
             h = hidden[own]
-            logits = h @ p["word_w"][a:b].T + p["word_b"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1, keepdims=True)
+            logits, e, total = _softmax(h @ p["word_w"][a:b].T + p["word_b"][a:b])
             at = np.arange(len(own)), targets[own] - a
             logp[own] += logits[at] - np.log(total[:, 0])
             if weight is not None:
@@ -209,7 +222,8 @@ class Model:
 
     def train(self, texts: list[np.ndarray], rate: float = RATE) -> None:
         h = np.zeros((0, HIDDEN), np.float32)
-        for inputs, targets, first, owner in Lanes(texts, self.start).windows():
+        segments = [t[a : a + SEGMENT] for t in texts for a in range(0, len(t), SEGMENT)]
+        for inputs, targets, first, owner in Lanes(segments, self.start).windows():
             wide = inputs.shape[1]
             h = np.concatenate([h[:wide], np.zeros((max(0, wide - len(h)), HIDDEN), np.float32)])
             hidden, kept = self.forward(inputs, first, h, keep=True)
@@ -224,7 +238,7 @@ class Model:
         """The natural log-likelihood of each whole text."""
         total = np.zeros(len(texts))
         h = np.zeros((0, HIDDEN), np.float32)
-        for inputs, targets, first, owner in Lanes(texts, self.start).windows():
+        for inputs, targets, first, owner in Lanes(texts, self.start).windows(None):
             wide = inputs.shape[1]
             h = np.concatenate([h[:wide], np.zeros((max(0, wide - len(h)), HIDDEN), np.float32)])
             hidden, _ = self.forward(inputs, first, h)

@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from tessera.llm import gru
 from tessera.llm.common import held_out, materialise
 
-WORDS, TAIL, HEAD = 4096, 64, 150_000
+WORDS, TAIL, HEAD = 1024, 64, 120_000
 ROUNDS, START_DOCUMENTS = 2, 300
 #: A task goes over its part of a small corpus again, until the passes give about so many symbols.
 PASS_SYMBOLS, MOST_PASSES = 2_500_000, 8
 FOLD = 1
 #: Distinct words a counting task holds before it hands them on; symbols that lie in lanes at once.
-HELD_WORDS, HELD_SYMBOLS = 400_000, 1_500_000
+HELD_WORDS, HELD_SYMBOLS = 400_000, 2_500_000
 PIECE, SPREAD = 8192, 16
 
 
@@ -76,13 +76,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
+class Known(dict):
+    """Words to symbols; a word that is none becomes its tail class and is kept up to a bound."""
+
+    def __init__(self, ids: dict[bytes, int], tail_ids: list[int]):
+        super().__init__(ids)
+        self.bound, self.tail_ids = len(ids) + HELD_WORDS, tail_ids
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.tail_ids[tail_class(word)]
+        if len(self) < self.bound:
+            self[word] = found
+        return found
+
+
 class Symbols:
     """The model's symbols and what is known of the corpus; all of bounded size."""
 
     def __init__(self, head: list[tuple[bytes, int]], documents: int, tails: dict[int, tuple[int, int]]):
         """``head``: frequent words with counts, most frequent first; ``tails``: of each tail
         class the tokens and distinct words, without those that are symbols."""
-        self.counts = dict(head)
+        self.logs = {w: math.log10(c + 0.5) for w, c in head}
         self.documents = documents
         all_tokens = sum(n for n, _ in tails.values()) + sum(c for _, c in head[:WORDS])
         self.tokens = all_tokens + documents
@@ -97,13 +111,19 @@ class Symbols:
             if isinstance(items[k][1], int):
                 self.tail_ids[items[k][1]] = at
         self.base_log = math.log10(self.tokens + 0.5 * (self.distinct + 1))
-        self.tail_logs = [math.log10(tails.get(k, (0, 0))[0] + 0.5 * (tails.get(k, (0, 0))[1] + 1)) for k in range(TAIL)]
+        tail_logs = [math.log10(tails.get(k, (0, 0))[0] + 0.5 * (tails.get(k, (0, 0))[1] + 1)) for k in range(TAIL)]
+        #: By symbol: what a word of this tail class divides by; 0 for words that are symbols.
+        self.symbol_logs = np.zeros(len(items))
+        self.symbol_logs[self.tail_ids] = tail_logs
+        self.known: Known | None = None
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        ids, tails = self.ids, self.tail_ids
-        found = [i if (i := ids.get(w)) is not None else tails[tail_class(w)] for w in words]
-        found.append(self.end)
-        return np.array(found, np.int32)
+        if self.known is None:  # made where it is used, so that it doesn't travel
+            self.known = Known(self.ids, self.tail_ids)
+        found = np.empty(len(words) + 1, np.int32)
+        found[:-1] = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        found[-1] = self.end
+        return found
 
 
 def gather_symbols(counts: DataFrame, documents: int) -> Symbols:
@@ -213,25 +233,25 @@ def score_documents(docs: DataFrame, fold: int = FOLD) -> DataFrame:
             encoded.clear()
             return done
 
-        count, ids = known.counts.get, known.ids
+        log, ids = known.logs.get, known.ids
         for batch in batches:
             for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 base, score, n_known = math.log10(known.documents + 0.5), 0.0, int(known.documents > 0)
                 rare: dict[bytes, int] = {}
                 for word, n in Counter(words).items():
-                    c = count(word)
-                    if c is None:
+                    at = log(word)
+                    if at is None:
                         rare[word] = n
                     else:
-                        at = math.log10(c + 0.5)
                         base += n * at
                         n_known += n
                         if word not in ids:
-                            score += n * (at - known.tail_logs[tail_class(word)])
+                            score += n * at
+                encoded.append(known.encode(words))
+                score -= float(known.symbol_logs[encoded[-1]].sum())
                 base -= (len(words) + 1 - sum(rare.values())) * known.base_log
                 rows.append([row, doc_id, out, len(words) + 1, n_known, base, score, list(rare), list(rare.values())])
-                encoded.append(known.encode(words))
                 row += 1
                 size += len(words) + 1
                 if size > HELD_SYMBOLS:
@@ -241,14 +261,12 @@ def score_documents(docs: DataFrame, fold: int = FOLD) -> DataFrame:
 
     scored = materialise(chosen.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
-    # Rarer words than the broadcast ones: never a hot key. A word without a count is new.
+    # Rarer words than the broadcast ones: never a hot key. A word without a count is new. What a
+    # tail word divides by is in the score already.
     met = rare.join(counts.select("word", "c"), "word", "left")
     value = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    tail_logs = F.array(*map(F.lit, symbols.tail_logs))
-    last_two = F.substring("word", -2, 2)
-    tail_log = F.element_at(tail_logs, (F.pmod(F.crc32(last_two), F.lit(TAIL)) + 1).cast("int"))
     zero, none = F.lit(0).cast("long"), F.lit(None)
-    rest = met.select("row", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), zero.alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("n_known"), (F.col("n") * (value - symbols.base_log)).alias("base"), (F.col("n") * (value - tail_log)).alias("score"))
+    rest = met.select("row", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), zero.alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("n_known"), (F.col("n") * (value - symbols.base_log)).alias("base"), (F.col("n") * value).alias("score"))
     both = scored.drop("words", "times").union(rest)
     total = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(symbols.tokens).cast("long").alias("train_tokens"), "base_score", "score")
