@@ -178,6 +178,40 @@ def test_join_loses_no_link(spark, monkeypatch):
     assert neardup.join_documents(df.limit(0)).count() == 0
 
 
+def test_pairs_that_no_tree_meets_are_found(spark, monkeypatch):
+    """With labels hashed apart for every document, no bucket has two members."""
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_join(rows)
+    plain = neardup.describe
+    monkeypatch.setattr(neardup, "describe", lambda *args: plain(*args).withColumn("trees", F.when(F.col("size") > 0, F.to_binary(F.repeat(F.sha2(F.col("key"), 256), 3), F.lit("hex"))).cast("binary")))
+    assert sorted(map(tuple, neardup.join_documents(df).collect())) == want
+
+
+def test_pairs_at_the_threshold_are_all_linked(spark):
+    """600 pairs of 90 shingles with 80 in common: about 3 of them meet in no tree."""
+    r = random.Random(9)
+    rows = []
+    for _ in range(600):
+        words = prose(r, 94).split()
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[10:], *(f"other{r.randrange(10**9)}" for _ in range(10))]))]
+    found = neardup.join_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == 1200 and all(x["n_links"] == 1 and x["class_id"] == x["doc_id"] // 2 * 2 for x in found)
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = np.random.default_rng(3)
+    frequent = np.sort(r.integers(0, 1 << 40, 300, np.uint64))
+    counts = r.integers(3, 50, 300)
+    for n in range(1, 120):
+        pool = np.concatenate([r.integers(0, 1 << 40, 2 * n, np.uint64), frequent])
+        both = r.choice(pool, n, replace=False)
+        apart = r.integers(1 << 41, 1 << 42, n // 4, np.uint64)
+        cut = int(r.integers(0, len(apart) + 1))
+        a, b = np.unique(np.concatenate([both, apart[:cut]])), np.unique(np.concatenate([both, apart[cut:]]))
+        assert np.intersect1d(neardup.prefix(a, frequent, counts), neardup.prefix(b, frequent, counts)).size
+
+
 def test_depth_is_shortened_to_the_target():
     assert neardup.matched_depth() == 4 and neardup.matched_depth(trees=50) == 6
     with pytest.raises(ValueError):
