@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm import gru
 from tessera.llm.common import held_out, materialise
 
-WORDS, TAIL, HEAD = 1024, 64, 120_000
+WORDS, TAIL, HEAD = 4096, 64, 120_000
 ROUNDS, START_DOCUMENTS = 2, 300
 #: A task goes over its part of a small corpus again, until the passes give about so many symbols.
 PASS_SYMBOLS, MOST_PASSES = 2_500_000, 8

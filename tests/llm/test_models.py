@@ -227,6 +227,13 @@ def test_long_chains_become_one_component(spark):
 # 10
 
 
+def test_the_4096_most_frequent_words_are_symbols():
+    head = [(f"w{k}".encode(), 6000 - k) for k in range(5000)]
+    symbols = lm.Symbols(head, 10, {})
+    assert len({int(symbols.encode([w])[0]) for w, _ in head[:4096]} - set(symbols.tail_ids)) == 4096
+    assert (gru.HIDDEN, gru.EMBEDDING, gru.CLASSES) == (32, 24, 64)
+
+
 def test_gradients():
     rng = np.random.default_rng(3)
     counts = np.arange(30, 0, -1).astype(float)
