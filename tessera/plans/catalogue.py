@@ -165,6 +165,26 @@ _batch("knn_batch_l2", Method.L2NORM)
 _batch("knn_batch_cosine", Method.COSINE)
 _batch("knn_batch_dot", Method.DOTP)
 
+
+def _batch_all(name: str, method: Method) -> None:
+    """Every row whose id is divisible by 50 searches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = scaled_table(spark, sf_dir)
+        return VectorTable(spark, DIMS, method, snapshot=rows).search_batch(rows.where("id % 50 = 0"), 10)
+
+    run.__name__ = name
+    d = SQL_DISTANCE[method].format(a="t.v", b="q.v")
+    query(
+        f"WITH {VS}, scored AS (SELECT q.id AS query_id, t.id AS id, round({d}, 6) AS distance FROM vs t, vs q WHERE q.id % 50 = 0), "
+        f"ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance {'ASC' if method.smaller_is_better else 'DESC'}, id) AS INTEGER) AS rank, id, distance FROM scored) SELECT * FROM ranked WHERE rank <= 10"
+    )(run)
+
+
+_batch_all("knn_batch_l2_all", Method.L2NORM)
+_batch_all("knn_batch_cosine_all", Method.COSINE)
+_batch_all("knn_batch_dot_all", Method.DOTP)
+
 SUBSET = [1, 7, 7, 99_999, 42, 13]
 _SUBSET_SQL = f"WITH {VS}, ids AS (SELECT unnest({SUBSET}) AS id) SELECT vs.id, round(list_distance(v, (SELECT v FROM vs WHERE id = 3)), 6) AS distance FROM vs JOIN ids USING (id) ORDER BY distance, id LIMIT 10"
 
@@ -249,6 +269,76 @@ def insert_rejects_duplicates(spark, sf_dir):
     return outcome.groupBy(F.when((F.col("op") == "i") & (F.col("seq") > 2000), "i2").otherwise(F.col("op")).alias("op"), "outcome").agg(F.count("*").alias("n"))
 
 
+# The same over all rows: who is there at first, inserted and changed goes by residues of the id.
+
+
+def all_changed_table(spark: SparkSession, sf_dir: str) -> VectorTable:
+    """Ids ending in 0-6 are there; those ending in 4-9 are inserted (4-6 in vain), every third is
+    deleted, every sixth inserted again with the tag 1024, every fifth gets the tag 2048."""
+    rows = vector_table(spark, sf_dir)
+    table = VectorTable(spark, DIMS, snapshot=rows.where("id % 10 < 7"))
+    step = lambda op, where, at, tag=F.col("tag"): rows.where(where).select((F.col("id") * 4 + at).alias("seq"), F.lit(op).alias("op"), "id", tag.cast("long").alias("tag"), F.transform("vector", lambda x: -x).alias("vector"))
+    log = step("i", "id % 10 >= 4", 0).union(step("d", "id % 3 = 0", 1)).union(step("i", "id % 6 = 0", 2, F.lit(1024))).union(step("t", "id % 5 = 0", 3, F.lit(2048)))
+    table.outcome = table.apply(log)
+    return table
+
+
+_ALL_CHANGED = f"""WITH {VT}, final AS (
+    SELECT id, CASE WHEN id % 5 = 0 THEN 2048 WHEN id % 6 = 0 THEN 1024 ELSE tag END AS tag,
+           CASE WHEN id % 10 >= 7 OR id % 6 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v
+    FROM vt WHERE id % 3 <> 0 OR id % 6 = 0)"""
+
+
+@query(f"{_ALL_CHANGED} SELECT id, CAST(tag AS BIGINT) AS tag, round(list_sum(v), 6) AS total FROM final")
+def table_after_changes_all(spark, sf_dir):
+    state = all_changed_table(spark, sf_dir).state()
+    return state.select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+def _search_changed(name: str, q: int, tag: int = 0) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return all_changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), q), 10, tag=tag)
+
+    run.__name__ = name
+    where = f"(tag & {tag}) <> 0" if tag else "true"
+    query(f"{_ALL_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = {q})), 6) AS distance FROM final WHERE {where} ORDER BY distance, id LIMIT 10")(run)
+
+
+_search_changed("delete_then_search_all", 1)
+_search_changed("delete_then_reinsert_all", 6, 1024)
+_search_changed("set_tag_then_search_all", 5, 2048)
+
+
+@query(
+    f"""WITH {VT}
+    SELECT 'i' AS op, CASE WHEN id % 10 < 7 THEN 'DUPLICATED_ENTRY' ELSE 'SUCCESS' END AS outcome, count(*) AS n FROM vt WHERE id % 10 >= 4 GROUP BY ALL
+    UNION ALL SELECT 'd', 'SUCCESS', count(*) FROM vt WHERE id % 3 = 0
+    UNION ALL SELECT 'i2', 'SUCCESS', count(*) FROM vt WHERE id % 6 = 0
+    UNION ALL SELECT 't', CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 'NOT_FOUND_ID' ELSE 'SUCCESS' END, count(*) FROM vt WHERE id % 5 = 0 GROUP BY ALL"""
+)
+def insert_rejects_duplicates_all(spark, sf_dir):
+    outcome = all_changed_table(spark, sf_dir).outcome
+    return outcome.groupBy(F.when((F.col("op") == "i") & (F.col("seq") % 4 == 2), "i2").otherwise(F.col("op")).alias("op"), "outcome").agg(F.count("*").alias("n"))
+
+
+def _import_all(name: str, mode: ImportMode, new: str) -> None:
+    """Two of three rows are there; every third and every fifth comes in."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vector_table(spark, sf_dir)
+        table = VectorTable(spark, DIMS, snapshot=rows.where("id % 3 <> 0"))
+        incoming = rows.where("id % 3 = 0 OR id % 5 = 0").withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("tag", F.lit(512).cast("long"))
+        table.import_rows(incoming, mode)
+        return table.state().select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+    run.__name__ = name
+    query(f"WITH {VT} SELECT id, CAST(CASE WHEN {new} THEN 512 ELSE tag END AS BIGINT) AS tag, round(list_sum(CASE WHEN {new} THEN list_transform(v, lambda x: -x) ELSE v END), 6) AS total FROM vt")(run)
+
+
+_import_all("import_overwrite_all", ImportMode.OVERWRITE, "(id % 3 = 0 OR id % 5 = 0)")
+_import_all("import_ignore_all", ImportMode.IGNORE, "(id % 3 = 0)")
+
+
 def _import(spark: SparkSession, sf_dir: str, mode: ImportMode) -> DataFrame:
     rows = vector_table(spark, sf_dir)
     table = VectorTable(spark, DIMS, snapshot=rows.where("id <= 100"))
