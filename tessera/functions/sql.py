@@ -17,8 +17,15 @@ FUNCTIONS = {
 }
 
 
+#: Functions with another result than a number.
+ARRAYS = {
+    "vector_normalize(a ARRAY<FLOAT>) RETURNS ARRAY<DOUBLE>": "CASE WHEN {n} > 0 THEN transform(a, x -> CAST(x AS DOUBLE) / {n}) END".format(n=_NORM.format(v="a")),
+}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to this session; gives their names."""
-    for head, body in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS DOUBLE RETURN {body}")
-    return [head.split("(")[0] for head in FUNCTIONS]
+    heads = {f"{head} RETURNS DOUBLE": body for head, body in FUNCTIONS.items()} | ARRAYS
+    for head, body in heads.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    return [head.split("(")[0] for head in heads]

@@ -2,6 +2,10 @@
 
 Rows are written partitioned by their nearest centroid; a search reads the cells whose centroids are
 nearest to the query, by a static filter on the partition column, so that other files are not opened.
+
+The parameters of a graph steer the cells. A graph search of breadth ``ef`` over nodes of ``M0``
+neighbours compares about ``ef * M0`` rows, and so many rows the nearest cells together must hold. The
+centroids are trained on ``ef_construct`` rows a cell.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from tessera.sources import store
 from tessera.types import InvalidArgument, Method
 
 DEFAULT_PROBES = 8
+#: The most cells of a table's index, and rows that a file of a cell holds.
+MOST_CELLS, FILE_ROWS = 4096, 200_000
 
 
 def breadth(k: int, ef_search: int = 110) -> int:
@@ -34,18 +40,61 @@ class CellIndex:
         self.probes = self.meta.get("probes", DEFAULT_PROBES)
 
     @classmethod
-    def build(cls, table: DataFrame, path: str, cells: int, probes: int = DEFAULT_PROBES, **options) -> CellIndex:
-        centres = kmeans.centroids(table, cells, **options)
-        placed = kmeans.assign(table, centres.select(F.col("id").cast("int").alias("cid"), F.col("vector").alias("centroid")))
-        # One cell may hold very many rows: a salt by id spreads it over several files.
-        rows = placed.select("id", "tag", "vector", "cid").repartition("cid", F.pmod(F.xxhash64("id"), F.lit(4)))
-        rows.write.mode("overwrite").partitionBy("cid").parquet(f"{path}/rows")
-        sizes = {str(r["cid"]): r["count"] for r in table.sparkSession.read.parquet(f"{path}/rows").groupBy("cid").count().collect()}
+    def build(cls, table: DataFrame, path: str, cells: int, probes: int = DEFAULT_PROBES, sample: int | None = None, **options) -> CellIndex:
+        """``sample``: rows a cell on which the centroids are trained (all rows by default)."""
+        n = table.count()
+        each = max(1, n // (cells * sample)) if sample else 1
+        chosen = table if each == 1 else table.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(each)) == 0)
+        centres = kmeans.centroids(chosen, cells, **options)
+        cid = centres.select(F.col("id").cast("int").alias("cid"), F.col("vector").alias("centroid"))
+        placed = store.written(kmeans.assign(table.select("id", "tag", "vector"), cid).drop("distance2"), "placed")
+        sizes = {r["cid"]: r["count"] for r in placed.where("cid IS NOT NULL").groupBy("cid").count().collect()}
+        # A cell is spread over as many files as its size asks for.
+        files = table.sparkSession.createDataFrame([(c, -(-m // FILE_ROWS)) for c, m in sizes.items()], "cid int, files int")
+        dealt = placed.join(F.broadcast(files), "cid").withColumn("file", F.pmod(F.xxhash64("id"), F.col("files")))
+        dealt.repartition("cid", "file").select("id", "tag", "vector", "cid").write.mode("overwrite").partitionBy("cid").parquet(f"{path}/rows")
         listed = [list(r["vector"]) for r in centres.orderBy("id").collect()]
         meta = {"kind": "cells", "centroids": listed, "sizes": sizes, "probes": probes}
         table.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         return cls(table.sparkSession, path)
 
+    @classmethod
+    def for_table(cls, table: DataFrame, params: dict[str, int]) -> CellIndex:
+        """About the square root of the rows as cells."""
+        n = table.count()
+        cells = max(1, min(MOST_CELLS, n - 1, round(n**0.5)))
+        if n < 2:
+            cells = 1
+            table = table.union(table)  # one row is its own centroid
+        return cls.build(table, store.scratch(table.sparkSession, "cells"), cells, sample=max(2, params["ef_construct"]), max_iterations=10)
+
+    def near(self, vector: Sequence[float], k: int, method: Method | str | int, params: dict[str, int]) -> DataFrame:
+        """The rows of the cells nearest to ``vector`` that hold about as many rows as a graph
+        search would compare."""
+        need = breadth(k, params["ef_search"]) * params["M0"]
+        return self.rows.where(F.col("cid").isin(self._until(self._ranked(vector, method), 1, need)))
+
+    def _ranked(self, vector: Sequence[float], method: Method | str | int = Method.L2NORM) -> np.ndarray:
+        query = np.asarray(vector, np.float64)
+        product = self.centroids @ query
+        if Method.of(method) is Method.DOTP:
+            away = -product
+        elif Method.of(method) is Method.COSINE:
+            norms = np.sqrt((self.centroids**2).sum(1))
+            away = -np.divide(product, norms, out=np.zeros_like(product), where=norms > 0)
+        else:
+            away = ((self.centroids - query) ** 2).sum(1)
+        return np.argsort(away, kind="stable")
+
+    def _until(self, ranked: np.ndarray, probes: int, need: int) -> list[int]:
+        found, rows = [], 0
+        for c in ranked:
+            if len(found) >= probes and rows >= need:
+                break
+            found.append(int(c) + 1)
+            rows += self.sizes.get(int(c) + 1, 0)
+        return found
+
     def with_params(self, probes: int) -> CellIndex:
         if probes < 1:
             raise InvalidArgument("probes")
@@ -54,14 +103,7 @@ class CellIndex:
 
     def cells_for(self, vector: Sequence[float], k: int, probes: int | None = None) -> list[int]:
         """The nearest cells; more, until they hold enough rows."""
-        gaps = ((self.centroids - np.asarray(vector, np.float64)) ** 2).sum(1)
-        need, found, rows = breadth(k), [], 0
-        for c in np.argsort(gaps, kind="stable"):
-            if len(found) >= (probes or self.probes) and rows >= need:
-                break
-            found.append(int(c) + 1)
-            rows += self.sizes.get(int(c) + 1, 0)
-        return found
+        return self._until(self._ranked(vector), probes or self.probes, breadth(k))
 
     def search(self, vector: Sequence[float], k: int, method: Method | str | int = Method.L2NORM, tag: int = 0, probes: int | None = None) -> DataFrame:
         """A tag filter makes the search exact: it scans all cells."""

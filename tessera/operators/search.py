@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
+from tessera.sources import store
 from tessera.types import InvalidArgument, InvalidDimensions, InvalidVector, Method
 
 #: Distances are rounded to so many places, so that they do not depend on the order of adding.
@@ -95,7 +96,8 @@ def knn_batch(table: DataFrame, queries: DataFrame, k: int, method: Method | str
     """``query_id``, ``rank``, ``id``, ``distance`` for ``queries`` (``id``, ``vector``).
 
     Queries are counted first: up to ``BROADCAST_BYTES`` of them are broadcast and the table is
-    scanned once; more are taken in several such scans.
+    scanned once. More are taken part by part, each with its own scan whose result is written before
+    the next part is read, so that the driver never holds more than one part.
     """
     method = Method.of(method)
     if k < 1:
@@ -103,14 +105,25 @@ def knn_batch(table: DataFrame, queries: DataFrame, k: int, method: Method | str
     spark = table.sparkSession
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
     parts = max(1, -(-size["n"] * (8 + 4 * (size["dims"] or 0)) // BROADCAST_BYTES))
+    schema = "query_id long, id long, distance double"
     found = None
     for part in range(parts):
         chosen = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
         rows = chosen.select("id", "vector").toArrow()
         ids = rows["id"].to_numpy()
         vectors = np.array(rows["vector"].to_pylist(), np.float32).reshape(len(ids), -1)
-        one = table.select("id", "vector").mapInArrow(_kernel(spark.sparkContext.broadcast((ids, vectors)), k, method, exclude_self), "query_id long, id long, distance double")
+        held = spark.sparkContext.broadcast((ids, vectors))
+        one = table.select("id", "vector").mapInArrow(_kernel(held, k, method, exclude_self), schema)
+        if parts > 1:
+            one = store.written(_best(one, k, method), "nearest")
+            held.destroy()
         found = one if found is None else found.union(one)
+    if parts > 1:
+        return found
+    return _best(found, k, method)
+
+
+def _best(found: DataFrame, k: int, method: Method) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(*best_first(method))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

@@ -84,10 +84,16 @@ def vec_normalize(spark, sf_dir):
     return scaled_table(spark, sf_dir).select("id", F.posexplode(V.normalize(F.col("vector"))).alias("pos", "x")).select("id", "pos", rounded(F.col("x")).alias("value"))
 
 
-@query(f"WITH {VT} SELECT id, CAST(0 AS DOUBLE) AS similarity FROM vt")
+@query(
+    f"""WITH {VS}, made AS (SELECT id, CASE WHEN id % 3 = 0 THEN list_transform(v, lambda x: 0::DOUBLE) ELSE v END AS v FROM vs)
+    SELECT id, CASE WHEN list_inner_product(v, v) = 0 THEN 0 ELSE round(list_cosine_similarity(v, (SELECT v FROM vs WHERE id = 1)), 6) END AS similarity FROM made"""
+)
 def cosine_zero_norm(spark, sf_dir):
-    zero = F.array_repeat(F.lit(0.0).cast("float"), DIMS)
-    return vector_table(spark, sf_dir).select("id", V.cosine(F.col("vector"), zero).alias("similarity"))
+    """Every third vector is made zero."""
+    rows = scaled_table(spark, sf_dir)
+    one = search.query_literal(vector_of(rows, 1))
+    some = F.when(F.col("id") % 3 == 0, F.transform("vector", lambda x: x * F.lit(0.0).cast("float"))).otherwise(F.col("vector"))
+    return rows.select("id", rounded(V.cosine(some, one)).alias("similarity"))
 
 
 @query(
@@ -103,6 +109,13 @@ def sql_functions(spark, sf_dir):
     )
 
 
+@query(f"WITH {VS}, n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM vs) SELECT id, unnest(range(0, 64))::INTEGER AS pos, round(unnest(list_transform(v, lambda x: x / n)), 6) AS value FROM n")
+def sql_normalize(spark, sf_dir):
+    register(spark)
+    scaled_table(spark, sf_dir).createOrReplaceTempView("tessera_scaled")
+    return spark.sql("SELECT id, pos, round(x, 6) AS value FROM (SELECT id, vector_normalize(vector) AS unit FROM tessera_scaled) LATERAL VIEW posexplode(unit) AS pos, x")
+
+
 # Search.
 
 
@@ -142,31 +155,17 @@ def knn_tag_no_match_padded(spark, sf_dir):
     return _finite(VectorTable(spark, DIMS, Method.L2NORM, snapshot=rows).search(vector_of(rows, 1), 5, 1 << 20, pad=True))
 
 
-@query(_padded_sql(_knn_sql(Method.L2NORM, 30, 1, "id <= 20"), 30, 0))
+#: More than the rows of any of the driver's tables.
+PADDED = 2500
+
+
+@query(_padded_sql(_knn_sql(Method.L2NORM, PADDED, 1), PADDED, 0))
 def knn_padded(spark, sf_dir):
     rows = scaled_table(spark, sf_dir)
-    return _finite(VectorTable(spark, DIMS, Method.L2NORM, snapshot=rows.where("id <= 20")).search(vector_of(rows, 1), 30, pad=True))
+    return _finite(VectorTable(spark, DIMS, Method.L2NORM, snapshot=rows).search(vector_of(rows, 1), PADDED, pad=True))
 
 
 def _batch(name: str, method: Method) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = scaled_table(spark, sf_dir)
-        return VectorTable(spark, DIMS, method, snapshot=rows).search_batch(rows.where("id <= 50"), 10)
-
-    run.__name__ = name
-    d = SQL_DISTANCE[method].format(a="t.v", b="q.v")
-    query(
-        f"WITH {VS}, scored AS (SELECT q.id AS query_id, t.id AS id, round({d}, 6) AS distance FROM vs t, vs q WHERE q.id <= 50), "
-        f"ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance {'ASC' if method.smaller_is_better else 'DESC'}, id) AS INTEGER) AS rank, id, distance FROM scored) SELECT * FROM ranked WHERE rank <= 10"
-    )(run)
-
-
-_batch("knn_batch_l2", Method.L2NORM)
-_batch("knn_batch_cosine", Method.COSINE)
-_batch("knn_batch_dot", Method.DOTP)
-
-
-def _batch_all(name: str, method: Method) -> None:
     """Every row whose id is divisible by 50 searches."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +180,9 @@ def _batch_all(name: str, method: Method) -> None:
     )(run)
 
 
-_batch_all("knn_batch_l2_all", Method.L2NORM)
-_batch_all("knn_batch_cosine_all", Method.COSINE)
-_batch_all("knn_batch_dot_all", Method.DOTP)
+_batch("knn_batch_l2", Method.L2NORM)
+_batch("knn_batch_cosine", Method.COSINE)
+_batch("knn_batch_dot", Method.DOTP)
 
 SUBSET = [1, 7, 7, 99_999, 42, 13]
 _SUBSET_SQL = f"WITH {VS}, ids AS (SELECT unnest({SUBSET}) AS id) SELECT vs.id, round(list_distance(v, (SELECT v FROM vs WHERE id = 3)), 6) AS distance FROM vs JOIN ids USING (id) ORDER BY distance, id LIMIT 10"
@@ -201,14 +200,21 @@ def filter_subset_padded(spark, sf_dir):
     return _finite(VectorTable(spark, DIMS, snapshot=rows).filter_subset(SUBSET, vector_of(rows, 3), 10, pad=True))
 
 
-@query(f"WITH {VT}, ids AS (SELECT unnest(range(0, 1000, 7)) AS id) SELECT id FROM ids WHERE id IN (SELECT id FROM vt)")
+@query(f"WITH {VT} SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT id FROM vt)")
 def id_contains(spark, sf_dir):
-    return VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).contains_batch(spark.range(0, 1000, 7))
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    return VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).contains_batch(ids)
+
+
+@query(f"WITH {VT} SELECT id, tag, unnest(range(0, 64))::INTEGER AS pos, round(unnest(v), 6) AS value FROM vt WHERE id = 42")
+def id_get(spark, sf_dir):
+    tag, vector = VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).get(42)
+    return spark.createDataFrame([(42, tag, k, round(x, 6)) for k, x in enumerate(vector)], "id long, tag long, pos int, value double")
 
 
 @query("SELECT count(*) AS n FROM embeddings")
 def table_size(spark, sf_dir):
-    return vector_table(spark, sf_dir).agg(F.count("*").alias("n"))
+    return VectorTable(spark, DIMS, snapshot=vector_table(spark, sf_dir)).count()
 
 
 @query(f"WITH {VT} SELECT tag, count(*) AS n FROM vt GROUP BY tag")
@@ -216,63 +222,11 @@ def tag_histogram(spark, sf_dir):
     return vector_table(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-# Changes: a log whose operations depend on the id. The oracle writes out what must be left.
+# Changes over all rows: who is there at first, inserted and changed goes by residues of the id. The
+# oracle writes out what must be left.
 
 
 def changed_table(spark: SparkSession, sf_dir: str) -> VectorTable:
-    """Ids 1-200 are there; 101-300 are inserted (those up to 200 in vain), every third is
-    deleted, every sixth inserted again with the tag 1024, every fifth gets the tag 2048."""
-    rows = vector_table(spark, sf_dir)
-    table = VectorTable(spark, DIMS, snapshot=rows.where("id <= 200"))
-    step = lambda op, where, offset, tag=F.col("tag"): rows.where("id <= 300").where(where).select((F.col("id") + offset).alias("seq"), F.lit(op).alias("op"), "id", tag.cast("long").alias("tag"), F.transform("vector", lambda x: -x).alias("vector"))
-    log = step("i", "id > 100", 0).union(step("d", "id % 3 = 0", 1000)).union(step("i", "id % 6 = 0", 2000, F.lit(1024))).union(step("t", "id % 5 = 0", 3000, F.lit(2048)))
-    table.outcome = table.apply(log)
-    return table
-
-
-_CHANGED = f"""WITH {VT}, final AS (
-    SELECT id, CASE WHEN id % 5 = 0 THEN 2048 WHEN id % 6 = 0 THEN 1024 ELSE tag END AS tag,
-           CASE WHEN id > 200 OR id % 6 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v
-    FROM vt WHERE id <= 300 AND (id % 3 <> 0 OR id % 6 = 0))"""
-
-
-@query(f"{_CHANGED} SELECT id, CAST(tag AS BIGINT) AS tag, round(list_sum(v), 6) AS total FROM final")
-def table_after_changes(spark, sf_dir):
-    state = changed_table(spark, sf_dir).state()
-    return state.select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
-
-
-@query(f"{_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = 1)), 6) AS distance FROM final ORDER BY distance, id LIMIT 10")
-def delete_then_search(spark, sf_dir):
-    return changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), 1), 10)
-
-
-@query(f"{_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = 6)), 6) AS distance FROM final WHERE (tag & 1024) <> 0 ORDER BY distance, id LIMIT 10")
-def delete_then_reinsert(spark, sf_dir):
-    return changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), 6), 10, tag=1024)
-
-
-@query(f"{_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = 5)), 6) AS distance FROM final WHERE (tag & 2048) <> 0 ORDER BY distance, id LIMIT 10")
-def set_tag_then_search(spark, sf_dir):
-    return changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), 5), 10, tag=2048)
-
-
-@query(
-    f"""WITH {VT}, ids AS (SELECT id FROM vt WHERE id <= 300)
-    SELECT 'i' AS op, CASE WHEN id <= 200 THEN 'DUPLICATED_ENTRY' ELSE 'SUCCESS' END AS outcome, count(*) AS n FROM ids WHERE id > 100 GROUP BY ALL
-    UNION ALL SELECT 'd', 'SUCCESS', count(*) FROM ids WHERE id % 3 = 0
-    UNION ALL SELECT 'i2', 'SUCCESS', count(*) FROM ids WHERE id % 6 = 0
-    UNION ALL SELECT 't', CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 'NOT_FOUND_ID' ELSE 'SUCCESS' END, count(*) FROM ids WHERE id % 5 = 0 GROUP BY ALL"""
-)
-def insert_rejects_duplicates(spark, sf_dir):
-    outcome = changed_table(spark, sf_dir).outcome
-    return outcome.groupBy(F.when((F.col("op") == "i") & (F.col("seq") > 2000), "i2").otherwise(F.col("op")).alias("op"), "outcome").agg(F.count("*").alias("n"))
-
-
-# The same over all rows: who is there at first, inserted and changed goes by residues of the id.
-
-
-def all_changed_table(spark: SparkSession, sf_dir: str) -> VectorTable:
     """Ids ending in 0-6 are there; those ending in 4-9 are inserted (4-6 in vain), every third is
     deleted, every sixth inserted again with the tag 1024, every fifth gets the tag 2048."""
     rows = vector_table(spark, sf_dir)
@@ -283,30 +237,30 @@ def all_changed_table(spark: SparkSession, sf_dir: str) -> VectorTable:
     return table
 
 
-_ALL_CHANGED = f"""WITH {VT}, final AS (
+_CHANGED = f"""WITH {VT}, final AS (
     SELECT id, CASE WHEN id % 5 = 0 THEN 2048 WHEN id % 6 = 0 THEN 1024 ELSE tag END AS tag,
            CASE WHEN id % 10 >= 7 OR id % 6 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v
     FROM vt WHERE id % 3 <> 0 OR id % 6 = 0)"""
 
 
-@query(f"{_ALL_CHANGED} SELECT id, CAST(tag AS BIGINT) AS tag, round(list_sum(v), 6) AS total FROM final")
-def table_after_changes_all(spark, sf_dir):
-    state = all_changed_table(spark, sf_dir).state()
+@query(f"{_CHANGED} SELECT id, CAST(tag AS BIGINT) AS tag, round(list_sum(v), 6) AS total FROM final")
+def table_after_changes(spark, sf_dir):
+    state = changed_table(spark, sf_dir).state()
     return state.select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
 def _search_changed(name: str, q: int, tag: int = 0) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return all_changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), q), 10, tag=tag)
+        return changed_table(spark, sf_dir).search(vector_of(vector_table(spark, sf_dir), q), 10, tag=tag)
 
     run.__name__ = name
     where = f"(tag & {tag}) <> 0" if tag else "true"
-    query(f"{_ALL_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = {q})), 6) AS distance FROM final WHERE {where} ORDER BY distance, id LIMIT 10")(run)
+    query(f"{_CHANGED} SELECT id, round(list_distance(v, (SELECT v FROM vt WHERE id = {q})), 6) AS distance FROM final WHERE {where} ORDER BY distance, id LIMIT 10")(run)
 
 
-_search_changed("delete_then_search_all", 1)
-_search_changed("delete_then_reinsert_all", 6, 1024)
-_search_changed("set_tag_then_search_all", 5, 2048)
+_search_changed("delete_then_search", 1)
+_search_changed("delete_then_reinsert", 6, 1024)
+_search_changed("set_tag_then_search", 5, 2048)
 
 
 @query(
@@ -316,12 +270,12 @@ _search_changed("set_tag_then_search_all", 5, 2048)
     UNION ALL SELECT 'i2', 'SUCCESS', count(*) FROM vt WHERE id % 6 = 0
     UNION ALL SELECT 't', CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 'NOT_FOUND_ID' ELSE 'SUCCESS' END, count(*) FROM vt WHERE id % 5 = 0 GROUP BY ALL"""
 )
-def insert_rejects_duplicates_all(spark, sf_dir):
-    outcome = all_changed_table(spark, sf_dir).outcome
+def insert_rejects_duplicates(spark, sf_dir):
+    outcome = changed_table(spark, sf_dir).outcome
     return outcome.groupBy(F.when((F.col("op") == "i") & (F.col("seq") % 4 == 2), "i2").otherwise(F.col("op")).alias("op"), "outcome").agg(F.count("*").alias("n"))
 
 
-def _import_all(name: str, mode: ImportMode, new: str) -> None:
+def _import(name: str, mode: ImportMode, new: str) -> None:
     """Two of three rows are there; every third and every fifth comes in."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,29 +289,32 @@ def _import_all(name: str, mode: ImportMode, new: str) -> None:
     query(f"WITH {VT} SELECT id, CAST(CASE WHEN {new} THEN 512 ELSE tag END AS BIGINT) AS tag, round(list_sum(CASE WHEN {new} THEN list_transform(v, lambda x: -x) ELSE v END), 6) AS total FROM vt")(run)
 
 
-_import_all("import_overwrite_all", ImportMode.OVERWRITE, "(id % 3 = 0 OR id % 5 = 0)")
-_import_all("import_ignore_all", ImportMode.IGNORE, "(id % 3 = 0)")
+_import("import_overwrite", ImportMode.OVERWRITE, "(id % 3 = 0 OR id % 5 = 0)")
+_import("import_ignore", ImportMode.IGNORE, "(id % 3 = 0)")
 
 
-def _import(spark: SparkSession, sf_dir: str, mode: ImportMode) -> DataFrame:
+@query(f"WITH {VT} SELECT id, CASE WHEN id % 3 <> 0 THEN 'DUPLICATED_ENTRY' ELSE 'SUCCESS' END AS outcome FROM vt WHERE id % 3 = 0 OR id % 5 = 0")
+def import_outcomes(spark, sf_dir):
     rows = vector_table(spark, sf_dir)
-    table = VectorTable(spark, DIMS, snapshot=rows.where("id <= 100"))
-    incoming = rows.where("id <= 20 OR id BETWEEN 101 AND 150").withColumn("vector", F.transform("vector", lambda x: -x)).withColumn("tag", F.lit(512).cast("long"))
-    table.import_rows(incoming, mode)
-    return table.state().select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
-
-
-_IMPORT = f"WITH {VT} SELECT id, CAST(CASE WHEN {{new}} THEN 512 ELSE tag END AS BIGINT) AS tag, round(list_sum(CASE WHEN {{new}} THEN list_transform(v, lambda x: -x) ELSE v END), 6) AS total FROM vt WHERE id <= 150"
+    table = VectorTable(spark, DIMS, snapshot=rows.where("id % 3 <> 0"))
+    return table.import_rows(rows.where("id % 3 = 0 OR id % 5 = 0"), ImportMode.IGNORE)
 
 
-@query(_IMPORT.format(new="(id <= 20 OR id > 100)"))
-def import_overwrite(spark, sf_dir):
-    return _import(spark, sf_dir, ImportMode.OVERWRITE)
-
-
-@query(_IMPORT.format(new="(id > 100)"))
-def import_ignore(spark, sf_dir):
-    return _import(spark, sf_dir, ImportMode.IGNORE)
+@query(
+    f"""WITH {VT} SELECT id, CASE WHEN id = 7 THEN 4096 ELSE tag END AS tag, round(list_sum(v), 6) AS total FROM vt WHERE id <> 3
+    UNION ALL SELECT 1000001, 8192, round(list_sum(list_transform(v, lambda x: -x)), 6) FROM vt WHERE id = 1"""
+)
+def single_changes(spark, sf_dir):
+    """One insert, one deletion, one tag and one insert that is deleted again, over the whole table."""
+    rows = vector_table(spark, sf_dir)
+    table = VectorTable(spark, DIMS, snapshot=rows)
+    one = [-x for x in vector_of(rows, 1)]
+    table.insert(1_000_001, 8192, one)
+    table.delete(3)
+    table.set_tag(7, 4096)
+    table.insert(1_000_002, 1, one)
+    table.delete(1_000_002)
+    return table.state().select("id", "tag", rounded(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
 _ROWS = f"WITH {VT} SELECT id, tag, round(list_sum(v), 6) AS total FROM vt"
@@ -439,6 +396,25 @@ def kmeans_lloyd_step(spark, sf_dir):
     return kmeans.lloyd_step(rows, _centres(rows)).select("cid", "pos", rounded(F.col("mean")).alias("mean"))
 
 
+def _steps_sql(steps: int) -> str:
+    """Lloyd's steps written out one after another."""
+    parts = [VS, "c0 AS (SELECT CAST(id AS INTEGER) AS cid, v FROM vs WHERE id <= 8)"]
+    for k in range(steps):
+        parts.append(f"s{k} AS (SELECT t.id, c.cid, list_sum(list_transform(list_zip(t.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d, t.v FROM vs t, c{k} c)")
+        parts.append(f"n{k} AS (SELECT * FROM s{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cid) = 1)")
+        parts.append(f"m{k} AS (SELECT cid, pos, avg(x) AS x FROM (SELECT cid, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM n{k}) GROUP BY cid, pos)")
+        parts.append(f"c{k + 1} AS (SELECT cid, list(x ORDER BY pos) AS v FROM m{k} GROUP BY cid)")
+    return f"WITH {', '.join(parts)} SELECT cid, unnest(range(0, 64))::INTEGER AS pos, round(unnest(v), 5) AS mean FROM c{steps}"
+
+
+@query(_steps_sql(4))
+def kmeans_four_steps(spark, sf_dir):
+    """The training loop from stated centres."""
+    rows = scaled_table(spark, sf_dir)
+    found = kmeans.refined(kmeans.packed(rows), [list(r["centroid"]) for r in _centres(rows).orderBy("cid").collect()], 4)
+    return spark.createDataFrame([(c + 1, k, round(float(x), 5)) for c, v in enumerate(found) for k, x in enumerate(v)], "cid int, pos int, mean double")
+
+
 @query(f"{_NEAREST} SELECT id, round(d, 6) AS distance2 FROM near")
 def kmeans_seed_weights(spark, sf_dir):
     rows = scaled_table(spark, sf_dir)
@@ -470,6 +446,31 @@ def ivf_search_tagged(spark, sf_dir):
     return _cells(spark, sf_dir).search(vector_of(scaled_table(spark, sf_dir), 42), 10, tag=6)
 
 
+def graph_table(spark: SparkSession, sf_dir: str) -> VectorTable:
+    return VectorTable(spark, DIMS, Method.L2NORM, IndexType.HNSW_INDEX, scaled_table(spark, sf_dir))
+
+
+@query(_knn_sql(Method.L2NORM, 10, 42))
+def hnsw_search(spark, sf_dir):
+    """A graph search of this breadth compares more rows than the driver's tables have."""
+    return graph_table(spark, sf_dir).search(vector_of(scaled_table(spark, sf_dir), 42), 10)
+
+
+@query(_knn_sql(Method.L2NORM, 10, 42, "(tag & 6) <> 0"))
+def hnsw_search_tagged(spark, sf_dir):
+    return graph_table(spark, sf_dir).search(vector_of(scaled_table(spark, sf_dir), 42), 10, tag=6)
+
+
+@query(_knn_sql(Method.L2NORM, 10, 42, "id % 4 <> 2"))
+def hnsw_search_after_changes(spark, sf_dir):
+    """Every fourth row is deleted after the cells were made."""
+    rows = scaled_table(spark, sf_dir)
+    table, query_vector = graph_table(spark, sf_dir), vector_of(rows, 42)
+    table.search(query_vector, 1)
+    table.apply(rows.where("id % 4 = 2").select(F.col("id").alias("seq"), F.lit("d").alias("op"), "id", "tag", "vector"))
+    return table.search(query_vector, 10)
+
+
 # Key-value tables.
 
 
@@ -499,13 +500,13 @@ def kv_get_missing(spark, sf_dir):
     return shown(customer_table(spark, sf_dir).get_batch(keys))
 
 
-@query("SELECT c_name AS key, CASE WHEN c_custkey % 10 = 0 THEN 'twice' WHEN c_custkey % 5 = 0 THEN 'once' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT 'new-' || c_custkey, c_mktsegment FROM customer WHERE c_custkey <= 20")
+@query("SELECT c_name AS key, CASE WHEN c_custkey % 10 = 0 THEN 'twice' WHEN c_custkey % 5 = 0 THEN 'once' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT 'new-' || c_custkey, c_mktsegment FROM customer WHERE c_custkey % 7 = 3")
 def kv_put_upsert(spark, sf_dir):
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     table = customer_table(spark, sf_dir)
     batch = customer.where("c_custkey % 5 = 0").select("c_custkey", F.col("c_name").alias("key"), F.lit("once").alias("value"))
     batch = batch.union(customer.where("c_custkey % 10 = 0").select(F.col("c_custkey") + 10_000_000, "c_name", F.lit("twice")))
-    batch = batch.union(customer.where("c_custkey <= 20").select(F.col("c_custkey"), F.concat(F.lit("new-"), "c_custkey"), "c_mktsegment"))
+    batch = batch.union(customer.where("c_custkey % 7 = 3").select(F.col("c_custkey"), F.concat(F.lit("new-"), "c_custkey"), "c_mktsegment"))
     table.put_batch(batch.withColumnRenamed("c_custkey", "seq"))
     return shown(table.state())
 
@@ -534,7 +535,7 @@ def kv_scan_all(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM customer")
 def kv_size(spark, sf_dir):
-    return customer_table(spark, sf_dir).state().agg(F.count("*").alias("n"))
+    return customer_table(spark, sf_dir).count()
 
 
 @query("SELECT c_name AS key, c_mktsegment AS value FROM customer")

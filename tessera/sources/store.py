@@ -7,15 +7,18 @@ Spark, so any store that Spark knows will do.
 from __future__ import annotations
 
 import json
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.types import InvalidFile
+from tessera.types import FileIOError, InvalidFile
 
 # Fixed values of the binary formats.
 VECTORS_MAGIC, FLAT_MAGIC, GRAPH_MAGIC, KV_MAGIC = 0x464C5000, 0x464C5449, 0x484E5357, 0x4B565354
@@ -76,6 +79,29 @@ def read_vector_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, tag long, vector array<float>")
 
 
+def vector_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The header of each binary vector file: ``path``, ``magic``, ``method``, ``dims``, ``elements``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [vector_header(v.as_py()) for v in batch.column(1)]
+            yield pa.record_batch([batch.column(0), *(pa.array([h[c] for h in heads], pa.int64()) for c in ("magic", "method", "dims", "elements"))], ["path", "magic", "method", "dims", "elements"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, magic long, method long, dims long, elements long")
+
+
+def write_vector_files(rows: DataFrame, path: str, method: int, dims: int) -> DataFrame:
+    """``name``, ``content``: one binary vector file for each partition of ``rows``, as a Parquet
+    table at ``path``; ``content`` is byte for byte a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.record_batch([pa.array([f"vectors-{TaskContext.get().partitionId():05d}.bin"]), pa.array([vector_file(own, method, dims)], pa.binary())], ["name", "content"])
+
+    rows.select("id", "tag", "vector").mapInArrow(run, "name string, content binary").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def vector_file(rows: list[tuple[int, int, list[float]]], method: int, dims: int, magic: int = VECTORS_MAGIC) -> bytes:
     """The bytes of one vector file."""
     aligned = (dims + 3) // 4 * 4
@@ -128,8 +154,23 @@ def read_kv_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share; what is written there goes when the
+    application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise FileIOError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/checkpoints"  # local mode alone, as in tests
+    path = f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{path}/table"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

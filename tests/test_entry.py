@@ -14,7 +14,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("embeddings", "pages", "customer"):
+    for table in ("embeddings", "pages", "customer", "orders"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = catalogue.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -124,8 +124,8 @@ def test_registered_batch_takes_all_rows_and_several_scans(spark, monkeypatch):
     from tessera.plans import catalogue
 
     sf = "/root/testdata/sf0.1"
-    whole = catalogue.queries()["knn_batch_l2_all"](spark, sf).collect()
+    whole = catalogue.queries()["knn_batch_l2"](spark, sf).collect()
     n = catalogue.vector_table(spark, sf).where("id % 50 = 0").count()
     assert len(whole) == 10 * n and max(r["query_id"] for r in whole) > 300
     monkeypatch.setattr(search, "BROADCAST_BYTES", 4_000)
-    assert sorted(catalogue.queries()["knn_batch_l2_all"](spark, sf).collect()) == sorted(whole)
+    assert sorted(catalogue.queries()["knn_batch_l2"](spark, sf).collect()) == sorted(whole)

@@ -103,6 +103,123 @@ def test_import_modes(spark):
         VectorTable(spark, 2).import_rows(new)
 
 
+def test_import_takes_no_bad_rows_and_one_of_an_id(spark):
+    rows = [(0, 1, [1.0]), (1, 2, None), (2, 3, [float("nan")]), (3, 4, [3.0]), (3, 5, [4.0]), (4, 6, [5.0]), (None, 7, [1.0])]
+    new = spark.createDataFrame([(*r, -k) for k, r in enumerate(rows)], "id long, tag long, vector array<float>, at int")
+    old = spark.createDataFrame([(4, 1, [9.0])], "id long, tag long, vector array<float>")
+    for mode, order, third, fourth, outcome in ((ImportMode.IGNORE, None, 4, 1, "DUPLICATED_ENTRY"), (ImportMode.IGNORE, "at", 5, 1, "DUPLICATED_ENTRY"), (ImportMode.OVERWRITE, None, 5, 6, "SUCCESS"), (ImportMode.OVERWRITE, "at", 4, 6, "SUCCESS")):
+        t = VectorTable(spark, 1, snapshot=old)
+        found = {(r["id"], r["outcome"]) for r in t.import_rows(new, mode, order).collect()}
+        assert found == {(0, "INVALID_ID"), (None, "INVALID_ID"), (1, "INVALID_VECTOR"), (2, "INVALID_VECTOR"), (3, "SUCCESS"), (4, outcome)}
+        assert {r["id"]: r["tag"] for r in t.state().collect()} == {3: third, 4: fourth}
+    with pytest.warns(UserWarning, match="^1 ids"):
+        VectorTable(spark, 1, snapshot=old).import_rows(new, ImportMode.IGNORE_VERBOSE)
+
+
+def test_a_thousand_single_changes(spark, monkeypatch):
+    """They stay in the driver up to a bound, and then in a log that is compacted."""
+    from tessera import table as module
+
+    t = VectorTable(spark, 2)
+    for k in range(1, 1001):
+        t.insert(k, k, [float(k), 0.0])
+    assert t.log is None and t.size() == 1000
+    monkeypatch.setattr(module, "BUFFERED", 40)
+    monkeypatch.setattr(module, "MOST_BATCHES", 3)
+    for k in range(1, 200, 2):
+        t.delete(k)
+    t.set_tag(2, 77)
+    assert t.batches < 3 and len(t.buffer) < 40
+    assert t.size() == 900 and t.get(2) == (77, [2.0, 0.0]) and not t.contains(1) and t.contains(1000)
+    kv = KVTable(spark)
+    for k in range(500):
+        kv.put(b"%d" % k, b"v%d" % k)
+    kv.delete(b"7")
+    assert kv.size() == 499 and kv.get(b"8") == b"v8"
+
+
+def test_unchanged_rows_stay_where_they_are(spark):
+    base = spark.range(1, 5001).selectExpr("id", "id AS tag", "array(CAST(id AS FLOAT)) AS vector")
+    t = VectorTable(spark, 1, snapshot=base)
+    t.apply(spark.createDataFrame([(1, "d", 5, None, None), (2, "t", 6, 99, None)], LOG))
+    plan = t.state()._jdf.queryExecution().executedPlan().toString()
+    same = plan.split("Union")[1].split("\n:- ")[1].split("\n+- ")[0] if "\n:- " in plan else plan
+    assert "BroadcastHashJoin" in same.split("BroadcastExchange")[0] and "hashpartitioning" not in same.split("BroadcastExchange")[0]
+    assert t.size() == 4999 and t.get(6)[0] == 99
+
+
+def test_a_hot_id_is_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(oplog, "RUN", 16)
+    r = random.Random(5)
+    ops = [(k + 1, r.choice("iiddot"), r.choice([1, 1, 1, 2]), 1, [float(k), 0.0]) for k in range(600)]
+    assert sorted((x["seq"], x["outcome"]) for x in oplog.outcomes(spark.createDataFrame(ops, LOG), "id").collect()) == machine(ops)[1]
+
+
+def test_destroyed_tables(spark):
+    with VectorTable(spark, 1) as t:
+        t.insert(1, 1, [1.0])
+    for call in (t.state, lambda: t.insert(2, 1, [1.0]), lambda: t.search([1.0]), t.size):
+        with pytest.raises(types.InvalidIndex):
+            call()
+    with KVTable(spark) as kv:
+        kv.put(b"a", b"b")
+    for call in (kv.state, lambda: kv.put(b"a", b"b"), lambda: kv.get(b"a")):
+        with pytest.raises(types.KVInvalidTable):
+            call()
+
+
+def test_order_of_faults(spark):
+    t = VectorTable(spark, 2)
+    t.insert(1, 1, [1.0, 2.0])
+    for error, args in ((types.InvalidId, (0, 1, None)), (types.InvalidVector, (1, 1, None)), (types.DuplicatedEntry, (1, 1, [1.0])), (types.InvalidDimensions, (2, 1, [1.0]))):
+        with pytest.raises(error):
+            t.insert(*args)
+
+
+def test_graph_type_searches_cells(spark, monkeypatch):
+    """Recall with the usual parameters, a wider search, and changes after the cells were made."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 16))
+    vectors = (centres[rng.integers(0, 60, 6000)] + 0.4 * rng.standard_normal((6000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(k + 1, 1 << (k % 3), v.tolist()) for k, v in enumerate(vectors)], "id long, tag long, vector array<float>").repartition(4).cache()
+    exact = VectorTable(spark, 16, snapshot=rows)
+    table = VectorTable(spark, 16, "L2NORM", IndexType.HNSW_INDEX, rows)
+    table.update_context(ef_search=20)
+    queries = [vectors[k].tolist() for k in range(0, 6000, 600)]
+    ids = lambda df: {r["id"] for r in df.collect()}
+    want = [ids(exact.search(q, 10)) for q in queries]
+    found = [ids(table.search(q, 10)) for q in queries]
+    assert sum(len(a & b) for a, b in zip(want, found, strict=True)) >= 0.9 * 100
+    looked = table.cells.near(queries[0], 10, "L2NORM", table.params).count()
+    assert 20 * 32 <= looked < 3000
+    table.update_context(ef_search=110)
+    assert table.cells.near(queries[0], 10, "L2NORM", table.params).count() > looked
+    assert ids(table.search(queries[3], 10, tag=2)) == ids(exact.search(queries[3], 10, tag=2))
+    table.delete(1)
+    table.insert(10_001, 1, queries[0])
+    table.apply(spark.createDataFrame([(1, "d", 601, None, None), (2, "i", 602, 1, [9.0] * 16), (3, "t", 603, 8, None)], LOG))
+    first = [r["id"] for r in table.search(queries[0], 3).collect()]
+    assert first[0] == 10_001 and 1 not in first
+    assert 601 not in ids(table.search(queries[1], 10))
+    assert [r["id"] for r in table.search([9.0] * 16, 1).collect()] != [602]  # it was there already, elsewhere
+    assert VectorTable(spark, 16, "L2NORM", IndexType.HNSW_INDEX).search(queries[0], 3).count() == 0
+
+
+def test_seeds_spread_and_centroids_in_several_passes(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, 0, [float(k % 5) * 10, float(k) / 1000]) for k in range(1, 501)], "id long, tag long, vector array<float>")
+    blocks = kmeans.packed(rows)
+    seeds = kmeans._seeds(blocks, 5, 42)
+    assert sorted(int(round(s[0] / 10)) for s in seeds) == [0, 1, 2, 3, 4]
+    centres = spark.createDataFrame([(k, [10.0 * k, 0.0]) for k in range(5)], "cid int, centroid array<double>")
+    once = sorted(map(tuple, kmeans.assign(rows, centres).select("id", "cid", "distance2").collect()))
+    monkeypatch.setattr(kmeans, "BROADCAST_BYTES", 32)
+    assert sorted(map(tuple, kmeans.assign(rows, centres).select("id", "cid", "distance2").collect())) == once
+    same = spark.createDataFrame([(k, 0, [1.0, 1.0]) for k in range(1, 9)], "id long, tag long, vector array<float>")
+    assert kmeans.centroids(same, 3).count() == 3
+
+
 def test_kv(spark, tmp_path):
     kv = KVTable(spark, "names")
     kv.put(b"a1", b"x")
@@ -133,6 +250,17 @@ def test_binary_files(spark, tmp_path):
     pairs = [(b"k", b"v" * 9), (b"\x00", b"w")]
     (tmp_path / "k.bin").write_bytes(store.kv_file(pairs))
     assert sorted((bytes(r["key"]), bytes(r["value"])) for r in store.read_kv_files(spark, f"file://{tmp_path}/k.bin").collect()) == sorted(pairs)
+    (tmp_path / "graph.bin").write_bytes(store.vector_file(rows, 1, 3, store.GRAPH_MAGIC))
+    table = VectorTable.load_binary(spark, f"file://{tmp_path}/graph.bin")
+    assert (table.dims, table.method.name, table.name, table.size()) == (3, "COSINE", "hnsw", 5)
+    flat = VectorTable(spark, 3)
+    flat.insert(2, 9, [0.0, 0.0, 1.0])
+    assert {r["id"]: r["outcome"] for r in flat.import_binary(f"file://{tmp_path}/v.bin").collect()}[2] == "DUPLICATED_ENTRY" and flat.size() == 5
+    with pytest.raises(types.InvalidDimensions):
+        VectorTable.load_binary(spark, f"file://{tmp_path}/{{v,graph}}.bin")
+    written = store.write_vector_files(spark.createDataFrame([(i, t, list(map(float, v))) for i, t, v in rows], "id long, tag long, vector array<float>").coalesce(1), f"file://{tmp_path}/written", 0, 3).collect()
+    assert [bytes(r["content"]) for r in written] == [store.vector_file(rows, 0, 3)]
+    assert KVTable.load_binary(spark, f"file://{tmp_path}/k.bin", "kv").get(b"k") == b"v" * 9
     for bad in (b"", b"x" * 60, store.vector_file(rows, 0, 3)[:-1]):
         with pytest.raises(types.InvalidFile):
             store.vector_header(bad)
