@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,63 @@ def test_held_out_accuracy(labelled):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in found)
 
 
+def plain_features(text, lexicon):
+    """The features by their descriptions, with loops over words and characters."""
+    import re
+
+    text = text or ""
+    words = re.findall(r"\w+", text.lower())
+    weights = {w: max([lexicon.words.get(w, 0.0)] + [lexicon.stems[w[:k]] for k in range(1, len(w) + 1) if w[:k] in lexicon.stems]) for w in set(words)}
+    hits = [k for k, w in enumerate(words) if w in toxicity.SEED_LEXICON or weights[w] > 0]
+    persons = [k for k, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    seed, learned = sum(w in toxicity.SEED_LEXICON for w in words), [w for w in words if weights[w] > 0]
+    near = sum(1 / (1 + min(abs(h - k) for k in persons)) for h in hits) if persons else 0.0
+    n, size = max(1, len(words)), max(1, len(text))
+    return {
+        "seed_density": seed / n * 1000, "seed_hits": seed, "learned_density": len(learned) / n * 1000, "learned_hits": len(learned), "learned_kinds": len(set(learned)), "learned_weight": sum(weights[w] for w in learned),
+        "near_second_person": near / n * 1000, "second_person_density": len(persons) / n * 1000, "capitals": sum(c.isupper() for c in text) / size, "exclamations": text.count("!") / size * 1000, "questions": text.count("?") / size * 1000,
+        "symbols": sum(c.isascii() and c.isprintable() and not c.isalnum() and not c.isspace() for c in text) / size, "word_length": sum(map(len, words)) / n, "repeated_words": (len(words) - len(set(words))) / n, "log_words": math.log1p(len(words)),
+    }
+
+
+def test_scores_are_those_of_the_model_by_hand(labelled, monkeypatch):
+    """Every document's features, the walk through every tree and the calibration, one by one."""
+    docs, labels = labelled
+    kept = []
+    plain = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *args: kept.append(plain(*args)) or kept[-1])
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labels).collect()}
+    model = kept[0]
+    centres, heights = model.curve
+    for doc_id, text in {r["doc_id"]: r["text"] for r in docs.collect()}.items():
+        x = dict(zip(toxicity.NAMES, toxicity.features(text, model.lexicon), strict=True))
+        for name, value in plain_features(text, model.lexicon).items():
+            assert math.isclose(x[name], value, rel_tol=1e-9, abs_tol=1e-12), (name, doc_id)
+        values = list(x.values())
+        raw = model.trees.base
+        for feature, cut, leaf in zip(model.trees.feature, model.trees.cut, model.trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if values[feature[node]] > cut[node] else 1)
+            raw += leaf[node - len(feature)]
+        if raw <= centres[0] or raw >= centres[-1]:
+            height = heights[0] if raw <= centres[0] else heights[-1]
+        else:
+            k = max(j for j in range(len(centres)) if centres[j] <= raw)
+            height = heights[k] + (heights[k + 1] - heights[k]) * (raw - centres[k]) / (centres[k + 1] - centres[k])
+        assert abs(found[doc_id] - min(1, max(0, 0.98 * height + 0.02 / (1 + math.exp(-raw))))) < 1e-9
+
+
+def test_a_bounded_sample_of_labels(labelled):
+    """The path over the bound on labelled rows."""
+    docs, labels = labelled
+    sample = toxicity.training_rows(docs, labels, 400)
+    assert 250 < sample.count() < 550
+    model = toxicity.learn(docs, labels, 400)
+    found = toxicity.score(docs.select("doc_id", "text"), model).where("doc_id < 1500").collect()
+    assert sum(r["predicted"] == int(r["doc_id"] % 5 == 1) for r in found) / len(found) > 0.9
+
+
 def test_without_labels_or_documents(labelled):
     docs, labels = labelled
     assert {r["score"] for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0.0}
@@ -178,13 +236,80 @@ def test_join_loses_no_link(spark, monkeypatch):
     assert neardup.join_documents(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Equal and other texts under the id of a representative, of a copy, and of one near copy."""
+    r = random.Random(13)
+    base = prose(r, 60).split()
+    a, b, far = " ".join(base), " ".join([*base[:58], "x1", "x2"]), prose(r, 40)
+    for rows in (
+        [(1, a), (2, b)],
+        [(1, a), (1, a), (2, b)],
+        [(1, a), (1, b), (2, b), (3, a)],
+        [(1, a), (2, b), (2, b), (2, b)],
+        [(1, a), (1, far), (2, b), (3, far), (3, far), (4, None), (4, ""), (4, far)],
+        [(5, a), (1, b), (5, b), (1, a), (7, None), (8, "")],
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        want = brute_join(rows)
+        assert sorted(map(tuple, neardup.join_documents(df).collect())) == want
+        texts = {i: min(t or "" for j, t in rows if j == i) for i, _ in rows}
+        kept = sorted((x["doc_id"], x["text"] or "") for x in neardup.keep_one(df).collect())
+        assert kept == sorted((c, texts[c]) for c in {c for _, _, c, _ in want})
+
+
+def test_descent_shortens_matched_prefixes():
+    """Each label's partner by brute force: the first earlier member of the longest matched prefix
+    that is similar, in shorter and shorter prefixes."""
+    r = np.random.default_rng(6)
+    depth, least = 6, 3
+    whole = [r.integers(0, 4, 60).astype(np.uint32) for _ in range(3)]
+    rows = []
+    for rep in range(400):
+        parts = whole[r.integers(3)].copy()
+        parts[r.integers(0, 60, r.integers(0, 40))] = r.integers(0, 4)
+        parts[:3] = 1
+        rows.append((parts[:depth].tobytes(), rep, parts))
+    rows.sort(key=lambda x: (x[0], x[1]))
+    walk, met = neardup.Descent(least, depth), 0
+    for k, (_, rep, parts) in enumerate(rows):
+        found = walk.partner(("tree", 0, 0), rep, parts[:depth], parts)
+        want = None
+        for x in range(depth, least - 1, -1):
+            node = [other for other in rows[:k] if (other[2][:x] == parts[:x]).all()]
+            if node and want is None and (node[0][2] == parts).sum() >= neardup.PARTNER * 60:
+                want = node[0][1]
+        assert found == want
+        met += found is not None
+    assert 50 < met < 400
+
+
+def test_hot_nodes_are_dealt_to_several_streams(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 8)
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, neardup.join_documents(df).collect())) == brute_join(rows)
+
+
+def test_the_forest_alone_finds_most_links(spark):
+    """600 pairs at the threshold, without the exact step: the share that meets as partners."""
+    r = random.Random(9)
+    rows = []
+    for _ in range(600):
+        words = prose(r, 400).split()
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[40:], *(f"other{r.randrange(10**9)}" for _ in range(40))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = neardup.describe(docs).selectExpr("doc_id AS rep", "key", "size", "trees", "sketch").cache()
+    found = {(x["a"], x["b"]) for x in neardup.forest(classes).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found) and len(found) >= 0.95 * 600
+
+
 def test_pairs_that_no_tree_meets_are_found(spark, monkeypatch):
     """With labels hashed apart for every document, no bucket has two members."""
     rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_join(rows)
     plain = neardup.describe
-    monkeypatch.setattr(neardup, "describe", lambda *args: plain(*args).withColumn("trees", F.when(F.col("size") > 0, F.to_binary(F.repeat(F.sha2(F.col("key"), 256), 3), F.lit("hex"))).cast("binary")))
+    monkeypatch.setattr(neardup, "describe", lambda *args: plain(*args).withColumn("trees", F.when(F.col("size") > 0, F.to_binary(F.repeat(F.sha2(F.col("key"), 256), 8), F.lit("hex"))).cast("binary")))
     assert sorted(map(tuple, neardup.join_documents(df).collect())) == want
 
 
@@ -199,6 +324,26 @@ def test_pairs_at_the_threshold_are_all_linked(spark):
     assert len(found) == 1200 and all(x["n_links"] == 1 and x["class_id"] == x["doc_id"] // 2 * 2 for x in found)
 
 
+def test_linked_pairs_are_near_enough(spark):
+    """Pairs at the threshold of many sizes stay, unrelated large ones go."""
+    r = np.random.default_rng(5)
+    rows = []
+    for n in [*range(1, 200, 3), *range(400, 6000, 150)] * 3:
+        whole = np.unique(r.integers(0, 1 << 63, n + n // 3, dtype=np.uint64) * 2 + 1)
+        both = -(-n * 4 // 5)
+        a = np.sort(r.permutation(whole)[:both])
+        rest = np.setdiff1d(whole, a)[: n - both]
+        cut = len(rest) // 2
+        x, y, z = np.union1d(a, rest[:cut]), np.union1d(a, rest[cut:]), np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        describe = lambda s: (len(s), neardup.sketch(s) + neardup.signature(s).astype(np.uint8).tobytes())
+        for k, other in ((0, y), (1, z)):
+            rows.append((len(rows), len(rows) + 10**6 * k + 1, *describe(x), *describe(other)))
+    df = spark.createDataFrame([(a, b, int(s), int(t), bytearray(u), bytearray(v)) for a, b, s, u, t, v in rows], "root_a long, root_b long, size_a long, size_b long, sketch_a binary, sketch_b binary")
+    found = {(x["a"], x["b"]) for x in neardup.near_enough(df).collect()}
+    assert {(a, b) for a, b, *_ in rows if b < 10**6} <= found
+    assert not {(a, b) for a, b, *_ in rows if b >= 10**6 and rows[a][2] > 20} & found
+
+
 def test_prefixes_of_linked_sets_meet():
     r = np.random.default_rng(3)
     frequent = np.sort(r.integers(0, 1 << 40, 300, np.uint64))
@@ -229,8 +374,13 @@ def test_long_chains_become_one_component(spark):
 
 def test_the_4096_most_frequent_words_are_symbols():
     head = [(f"w{k}".encode(), 6000 - k) for k in range(5000)]
-    symbols = lm.Symbols(head, 10, {})
-    assert len({int(symbols.encode([w])[0]) for w, _ in head[:4096]} - set(symbols.tail_ids)) == 4096
+    tails = Counter(), Counter()
+    for w, c in head:
+        tails[0][lm.tail_class(w)] += c
+        tails[1][lm.tail_class(w)] += 1
+    symbols = lm.Symbols(head, 10, {k: (tails[0][k], tails[1][k]) for k in tails[0]})
+    found = symbols.encode(pa.array([" ".join(w.decode() for w, _ in head[:4096])]))[0]
+    assert len(found) == 4097 and len(set(found[:-1].tolist()) - set(symbols.tail_ids.tolist())) == 4096
     assert (gru.HIDDEN, gru.EMBEDDING, gru.CLASSES) == (32, 24, 64)
 
 
@@ -240,16 +390,20 @@ def test_gradients():
     edges = gru.class_edges(counts, 5)
     p = {k: v.astype(np.float64) for k, v in gru.initial(counts, edges).items()}
     model = gru.Model(p, edges)
-    lanes = gru.Lanes([rng.integers(0, 30, n).astype(np.int32) for n in (5, 9, 3, 12)], model.start)
-    inputs, targets, first, owner = next(lanes.windows(12))
+    texts = [rng.integers(0, 30, n).astype(np.int32) for n in (5, 9, 3, 12)]
+    inputs, targets, first, owner = next(gru.scoring_windows(texts, model.start))
 
     def loss():
+        model.kept_table = None
         h = np.zeros((inputs.shape[1], gru.HIDDEN))
+        grads = gru.views(np.zeros_like(model.values), p)
         hidden, kept = model.forward(inputs, first, h, keep=True)
         there = (owner.ravel() >= 0).astype(float)
-        logp, grads, dh = model.output(hidden.reshape(-1, gru.HIDDEN).astype(np.float64), targets.ravel(), there)
-        return -(logp * there).sum(), grads | model.backward(inputs, first, kept, dh.reshape(hidden.shape))
+        logp, dh = model.output(hidden.reshape(-1, gru.HIDDEN), targets.ravel(), there, grads)
+        model.backward(inputs, first, kept, dh.reshape(hidden.shape), grads)
+        return -(logp * there).sum(), grads
 
+    p = model.p
     _, grads = loss()
     for name in gru.NAMES:
         for _ in range(4):
@@ -268,7 +422,7 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     edges = gru.class_edges(counts, 6)
     model = gru.Model(gru.initial(counts, edges), edges)
     hidden = np.random.default_rng(1).standard_normal((1, gru.HIDDEN)).astype(np.float32)
-    logp = [model.output(hidden, np.array([k]))[0][0] for k in range(40)]
+    logp = [float(model.output(hidden, np.array([k]))[0][0]) for k in range(40)]
     assert abs(np.exp(logp).sum() - 1) < 1e-5
     rng = np.random.default_rng(2)
     texts = [rng.integers(0, 40, n).astype(np.int32) for n in (1, 100, 37, 5, 250)]
@@ -295,6 +449,84 @@ def test_documents_against_brute_force(spark):
     assert lm.score_documents(df.limit(0)).count() == 0
 
 
+def plain_scores(rows, symbols, p, edges, counts):
+    """log10 probability of each text, token by token in Python floats."""
+    n_tail, v_tail = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in symbols.symbols_of:
+            n_tail[lm.tail_class(w)] += c
+            v_tail[lm.tail_class(w)] += 1
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    size = gru.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    classes = [range(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    found = []
+    for _, text in rows:
+        h, last, total = np.zeros(size), int(edges[-1]), 0.0
+        for word in [*(text or "").encode().lower().split(), None]:
+            x = p["embedding"][last] @ p["input"] + p["bias"]
+            u = h @ p["recurrent"]
+            z, r = sigmoid(x[:size] + u[:size]), sigmoid(x[size : 2 * size] + u[size : 2 * size])
+            n = np.tanh(x[2 * size :] + r * u[2 * size :])
+            h = (1 - z) * n + z * h
+            last = symbols.symbols_of[word] if word in symbols.symbols_of else int(symbols.tail_ids[lm.tail_class(word)])
+            c = next(k for k, own in enumerate(classes) if last in own)
+            logits = h @ p["class_w"] + p["class_b"]
+            total += logits[c] - math.log(np.exp(logits).sum())
+            own = p["word_w"][classes[c].start : classes[c].stop] @ h + p["word_b"][classes[c].start : classes[c].stop]
+            total += own[last - classes[c].start] - math.log(np.exp(own).sum())
+            if word not in symbols.symbols_of:
+                k = lm.tail_class(word)
+                total += math.log((counts.get(word, 0) + 0.5) / (n_tail[k] + 0.5 * (v_tail[k] + 1)))
+        found.append(total / math.log(10))
+    return found
+
+
+@pytest.mark.parametrize(("head", "words"), [(lm.HEAD, lm.WORDS), (12, 8), (0, 0)])
+def test_scores_equal_a_plain_scorer(spark, monkeypatch, head, words):
+    """Also with words beyond the symbols and beyond the broadcast ones, some of them seen only in
+    held-out documents."""
+    r = random.Random(11)
+    rows = [(k, prose(r, r.randint(1, 60)) + (" heldout a" * 30 if k % 3 == 0 and zlib.crc32(str(k).encode()) % 5 == 1 else "")) for k in range(90)] + [(90, None), (91, "x " * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "WORDS", words)
+    kept = {}
+    plain = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda docs, symbols: kept.setdefault("model", (symbols, plain(docs, symbols)))[1])
+    found = {x["doc_id"]: x["score"] for x in lm.score_documents(df).collect()}
+    symbols, model = kept["model"]
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in lm.words_of(t))
+    symbols.symbols_of = {w.encode(): int(symbols.symbol[k]) for k, w in enumerate(symbols.words) if not symbols.in_tail[k]} | {None: symbols.end}
+    assert len(symbols.words) <= head and (len(symbols.symbols_of) <= words + 1)
+    for (i, _), want in zip(rows, plain_scores(rows, symbols, model.p, model.edges, counts), strict=True):
+        assert abs(found[i] - want) < 2e-3 + 2e-5 * abs(want)
+
+
+def test_a_lane_carries_the_state_through_long_texts():
+    texts = [np.arange(n, dtype=np.int32) for n in (5, 100, 1, 30)]
+    windows = list(gru.training_windows(texts, 999, 8))
+    assert sum(int((owner >= 0).sum()) for *_, owner in windows) == 136
+    assert sum(int(first.sum()) for _, _, first, _ in windows) == 4
+    inputs, targets, first, owner = (np.concatenate([np.pad(w[k], ((0, 0), (0, 16 - w[k].shape[1])), constant_values=-1) for w in windows]).T for k in range(4))
+    flat = owner.ravel() >= 0
+    assert targets.ravel()[flat].tolist() == [x for t in texts for x in t]
+    assert all(i == (999 if t == 0 else t - 1) for i, t in zip(inputs.ravel()[flat], targets.ravel()[flat], strict=True))
+
+
+def test_words_of_a_column():
+    r = random.Random(12)
+    texts = [None, "", " ", "a", "\n\n", "é ÀB\x1cC\x85d\xa0e"] + ["".join(r.choice("aB \t\n\x0b\x0c\rzé\x1c") for _ in range(r.randint(0, 30))) for _ in range(500)]
+    whole = pa.array(texts, pa.string())
+    for column in (whole, whole.slice(3, 6), whole.slice(200, 250), whole.cast(pa.large_string()).slice(200, 250), pa.array([], pa.string()), pa.array(["one"])):
+        words, lengths = lm.all_words(column)
+        want = [lm.words_of(t) for t in column.to_pylist()]
+        assert [w.encode() for w in words.to_pylist()] == [w for own in want for w in own] and lengths.tolist() == list(map(len, want))
+        assert lm.tail_classes(words).tolist() == [lm.tail_class(w) for own in want for w in own]
+        some = words.slice(3)
+        assert lm.tail_classes(some).tolist() == [lm.tail_class(w.encode()) for w in some.to_pylist()]
+
+
 def test_rare_words_meet_their_counts(spark, monkeypatch):
     r = random.Random(11)
     rows = [(k, prose(r, 30)) for k in range(60)]

@@ -55,3 +55,54 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
     assert none.count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows and ids, ties, a long text and clashing columns."""
+    text = "one line that many documents hold\n" + " ".join(f"word{k}" for k in range(60))
+    rows = [
+        (1, text, "en", "s", 1, "a"),
+        (1, text, "en", "s", 1, "a"),
+        (2, text.upper(), None, None, None, None),
+        (3, None, None, None, None, None),
+        (3, "", "en", "s", 0, "b"),
+        (None, text, "en", "s", 2, "c"),
+        (None, None, None, None, None, None),
+        (4, "calm words and nothing else here " * 4000, "en", "s", 3, "d"),
+        (4, "another text of the same id", "en", "s", 3, "d"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __gone string").withColumnRenamed("__gone", "gone")
+    docs = docs.selectExpr("*", "source AS start", "lang AS `c0`")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF).cache()
+        assert out.columns == docs.columns, name
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+    assert [k for k, _ in kept] == ["1", "3", "4", "None", "None"]
+    assert kept[2][1] == "another text of the same id" and kept[0][1] == text
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in packed if r["start"] == 0) == [k for k, _ in kept]
+
+
+def test_a_missing_wheel_is_not_swallowed(monkeypatch):
+    import builtins
+    import importlib
+
+    plain = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "zstandard":
+            raise ModuleNotFoundError("No module named 'zstandard'", name="zstandard")
+        return plain(name, *args, **kwargs)
+
+    import sys
+
+    held = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("tessera.llm") or k == "corpus_pipeline"}
+    try:
+        monkeypatch.setattr(builtins, "__import__", without)
+        with pytest.raises(ModuleNotFoundError, match="zstandard"):
+            importlib.reload(entry)
+    finally:
+        monkeypatch.undo()
+        sys.modules.update(held)
+        importlib.reload(entry)

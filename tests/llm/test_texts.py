@@ -142,11 +142,50 @@ def test_lines_with_a_full_filter_and_a_hot_line(spark):
     rows = [(k, "\n".join(["the one very common line"] * (k % 3 == 0) + [f"line number {r.randint(0, 300)} of them" for _ in range(5)])) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = sorted((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute_lines(rows))
-    drops = linededup.repeated_lines(df, bits=linededup.CHUNK)
-    assert drops.count() == sum(d > 0 for _, _, d, _ in want)
+    dropping = [i for i, _, d, _ in want if d]
+    for ranges in (1, 3):
+        drops = linededup.repeated_lines(df, bits=linededup.CHUNK, ranges=ranges)
+        assert sorted(r["doc_id"] for r in drops.collect()) == dropping
     assert sorted(map(tuple, linededup.digest_documents(df).collect())) == want
 
 
+def test_ranges_keep_small_filters_selective(spark, monkeypatch):
+    """Ten times the lines that one pair of the largest filters would take, each line once."""
+    rows = [(k, "\n".join(f"a line of its own {k} {j}" for j in range(200))) for k in range(540)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(linededup, "MAX_BITS", linededup.CHUNK)
+    bits, ranges = linededup.filter_size(df)
+    assert bits == linededup.CHUNK and ranges == 10
+    passed = [linededup.suspected(df, bits, 10, ranges, own).count() for own in (0, 9)]
+    assert max(passed) < 0.35 * 540 * 200 / ranges
+    assert linededup.suspected(df, bits, 10, 1, 0).count() > 0.7 * 540 * 200  # one range for all lets most through
+
+
+def test_names_of_other_columns_never_matter(spark, docs):
+    odd = docs.selectExpr("doc_id", "text", "lang AS __x", "row AS lines", "score AS dropped", "key AS c1", "row AS n_lines", "key AS drops", "doc_id AS __id", "CAST(0 AS INT) AS n_chars", "row AS `a.b`")
+    kept = linededup.dedup_lines(odd)
+    assert kept.dtypes == odd.dtypes
+    want = {(r["doc_id"], r["text"], len(r["text"]), r["lang"]) for r in linededup.dedup_lines(docs).collect()}
+    assert {(r["doc_id"], r["text"], r["n_chars"], r["__x"]) for r in kept.collect()} == want
+    assert linededup.digest_documents(odd).count() == len(ODD)
+    placed = sharding.assign_shards(odd.withColumnRenamed("lines", "__at").withColumnRenamed("dropped", "AT").withColumnRenamed("c1", "free_slot"), "doc_id")
+    assert set(placed.columns) >= {"__at", "AT", "free_slot", "a.b", "slot", "shard"} and placed.count() == len(ODD)
+    pages = spark.createDataFrame([(1, "u", "x" * 200, "r", 5), (2, "v", "x" * 200, "r", 6)], "page_id long, url string, html string, record_type string, payload_bytes int")
+    assert sorted((r["page_id"], r["record_type"]) for r in warc.read_archives(warc.write_archives(pages)).collect()) == [(1, "response"), (2, "revisit")]
+    clash = docs.selectExpr("doc_id", "text", "lang AS start", "row AS n_tokens", "score AS sequence_id", "row AS ids")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert check_packing([r[:2] for r in ODD], packing.pack_documents(clash, path, window=256).collect(), 256) == 1
+    assert bpe.digest_documents(clash, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == len(ODD)
+
+
+def test_write_shards(spark, tmp_path):
+    df = spark.range(3000).selectExpr("IF(id % 3 = 0, 0, id) AS k", "id AS shard")
+    sharding.write_shards(df, "k", f"file://{tmp_path}/shards")
+    found = spark.read.parquet(f"file://{tmp_path}/shards")
+    want = {(r["k"], r["shard"]) for r in sharding.assign_shards(df, "k").collect()}
+    assert {(r["k"], r["shard"]) for r in found.collect()} == want and found.count() == 3000
+
+
 def test_filters_never_miss():
     rng = np.random.default_rng(2)
     f = linededup.Filters(linededup.CHUNK)
@@ -213,6 +252,29 @@ def test_placement_minimises_the_sum_of_squares():
         assert p.count[1:64].astype(int).tolist() == levels[1:64]
 
 
+def test_the_rule_decides_nearly_all_tokens(spark):
+    """The documents of 10,000 in 32 splits, as tasks get them: a tenth at most is placed again."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(32)
+    joined = docs.coalesce(docs.count() // packing.LEAST_DOCUMENTS)
+    sizes = joined.selectExpr("spark_partition_id() AS part", "size(split(coalesce(text, ''), ' ')) AS n").collect()
+    placed = drained = whole = 0
+    for part in {r["part"] for r in sizes}:
+        p = packing.Packer(2048, 0)
+        for k, r in enumerate(sizes):
+            if r["part"] == part:
+                p.add(k, bytes(4 * (r["n"] + 1)))
+                whole += r["n"] + 1
+        p.drain()
+        assert not p.count[:2048].any() and sum(1 for x in p.rows) >= k // 32
+        placed += p.placed
+        drained += p.drained
+        lengths = defaultdict(int)
+        for row in p.rows:
+            lengths[row[5]] += row[2]
+        assert sum(n != 2048 for n in lengths.values()) <= 11 and all(n & (n - 1) == 0 for n in lengths.values())
+    assert drained < 0.1 * whole and drained < 0.2 * placed
+
+
 def test_words_equal_the_library():
     encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(9)
