@@ -11,12 +11,14 @@ in the document with the smallest id.
 2. The merged second filter (at most ``MAX_BITS``, 64 MB) is broadcast. Only keys that it holds
    leave the tasks, once a document, as 128-bit digests; they are written to the shared folder.
 3. Digests are grouped for exact confirmation and the smallest id (combined before the shuffle), and
-   joined with the suspects again; a hot line is split by the adaptive join.
+   joined with the suspects again. Lines with more than one in ``HOT`` of all suspects, of which
+   there are fewer than ``HOT``, are broadcast for that; so no line fills a task.
 4. Documents meet their own lists of dropped digests in one join by id.
 
-The filters get 24 bits a line, counted beforehand, up to ``MAX_BITS``. Beyond some 20 million lines
-they let more and more single lines through to the exact step, which costs shuffled bytes and
-changes no result.
+The filters get 24 bits a line, counted beforehand, up to ``MAX_BITS``, and never fewer than
+``LEAST_BITS`` a line: where there are more lines, hashes are dealt into ranges, each with its own
+pair of filters and its own pass over the texts (some 90 million lines a pass). Memory stays bounded
+and filters stay selective; the passes grow with the corpus.
 
 Defined results: a null or empty text is one empty line; rows that share an id count as one
 document; rows with a null id neither lose lines nor count; texts of any length are read whole;
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,10 @@ from pyspark.sql import types as T
 from tessera.llm.common import materialise
 
 MIN_CHARS = 10
-BITS_PER_LINE = 24
+BITS_PER_LINE, LEAST_BITS = 24, 6
 CHUNK = 1 << 16
 MAX_BITS = 1 << 29
+HOT = 1024
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -63,6 +67,14 @@ def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes % np.uint64(bits), ((hashes >> np.uint64(32)) | (hashes << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(bits)
 
 
+def in_range(hashes: np.ndarray, ranges: int, own: int) -> np.ndarray:
+    """Which hashes belong to a range; by other bits than their places in a filter."""
+    if ranges == 1:
+        return np.ones(len(hashes), bool)
+    mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(32)) % np.uint64(ranges) == own
+
+
 class Filters:
     """Once-seen and twice-seen bits of one task, as bytes of 0 and 1 packed when they leave."""
 
@@ -109,8 +121,8 @@ def unpack_bits(data: bytes) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The merged filter; ``docs``: doc_id, text."""
+def twice_seen(docs: DataFrame, bits: int, min_chars: int, ranges: int = 1, own: int = 0) -> np.ndarray:
+    """The merged filter of one range of hashes; ``docs``: doc_id, text."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = Filters(bits)
@@ -118,7 +130,8 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
             hashes: list[int] = []
             for text in batch.column(1).to_pylist():
                 hashes.extend(map(xxhash.xxh3_64_intdigest, set(keys_of(text, min_chars)) - {None}))
-            filters.add(np.array(hashes, np.uint64))
+            found = np.array(hashes, np.uint64)
+            filters.add(found[in_range(found, ranges, own)])
         for k, once, twice in filters.chunks():
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], ["chunk", "once", "twice"])
 
@@ -144,50 +157,64 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return found
 
 
-def filter_bits(docs: DataFrame) -> int:
+def filter_size(docs: DataFrame) -> tuple[int, int]:
+    """Bits of a filter, and the ranges of hashes."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 1
-    return min(MAX_BITS, -(-lines * BITS_PER_LINE // CHUNK) * CHUNK)
+    ranges = -(-lines * LEAST_BITS // MAX_BITS)
+    return min(MAX_BITS, -(-lines * BITS_PER_LINE // ranges // CHUNK) * CHUNK), ranges
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int | None = None) -> DataFrame:
-    """``doc_id``, ``drops``: the digests of the lines that a document loses. Exact."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = bits or filter_bits(chosen)
-    filled = chosen.sparkSession.sparkContext.broadcast(twice_seen(chosen, bits, min_chars))
+def suspected(docs: DataFrame, bits: int, min_chars: int, ranges: int, own: int) -> DataFrame:
+    """``line`` (digest), ``doc_id`` of the keys that a range's second filter holds, once a document."""
+    filled = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars, ranges, own))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(keys_of(text, min_chars)) - {None}
-                ids.extend([doc_id] * len(own))
-                keys.extend(own)
+                found = set(keys_of(text, min_chars)) - {None}
+                ids.extend([doc_id] * len(found))
+                keys.extend(found)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-            hits = np.flatnonzero(Filters.holds(filled.value, hashes, bits))
+            hits = np.flatnonzero(Filters.holds(filled.value, hashes, bits) & in_range(hashes, ranges, own))
             yield pa.record_batch([pa.array([digest(keys[k]) for k in hits], pa.binary()), pa.array([ids[k] for k in hits], pa.int64())], ["line", "doc_id"])
 
-    suspects = materialise(chosen.where("doc_id IS NOT NULL").mapInArrow(probe, "line binary, doc_id long"), "suspect-lines")
-    first = suspects.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    dropped = suspects.join(first, "line").where("doc_id > first")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(probe, "line binary, doc_id long")
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int | None = None, ranges: int = 1) -> DataFrame:
+    """``doc_id``, ``drops``: the digests of the lines that a document loses. Exact."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not bits:
+        bits, ranges = filter_size(chosen)
+    parts = [materialise(suspected(chosen, bits, min_chars, ranges, own), "suspect-lines") for own in range(ranges)]
+    suspects = reduce(DataFrame.union, parts)
+    first = suspects.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    first = materialise(first, "first-lines")
+    many = suspects.count() // HOT
+    # Lines with more than one in HOT of the suspects are fewer than HOT.
+    hot = first.where(F.col("n") > many).select("line", F.col("first").alias("hot_first"))
+    marked = suspects.join(F.broadcast(hot), "line", "left")
+    rest = marked.where("hot_first IS NULL").select("line", "doc_id").join(first.where(F.col("n") <= many).drop("n"), "line")
+    dropped = rest.where("doc_id > first").select("line", "doc_id").union(marked.where("doc_id > hot_first").select("line", "doc_id"))
     return dropped.groupBy("doc_id").agg(F.collect_set("line").alias("drops"))
 
 
 def _rewritten(docs: DataFrame, drops: DataFrame, min_chars: int, digests: bool) -> DataFrame:
-    """``docs``: __id, __text and whatever else, in any order; the text becomes what is kept."""
-    known = docs.where("__id IS NOT NULL").join(drops.withColumnRenamed("doc_id", "__id").withColumnRenamed("drops", "__drops").hint("shuffle_hash"), "__id", "left")
-    rest = docs.where("__id IS NULL").withColumn("__drops", F.lit(None).cast("array<binary>"))
-    both = known.select(*docs.columns, "__drops").union(rest.select(*docs.columns, "__drops"))
-    kept_columns = [c for c in docs.columns if not c.startswith("__")]
-    fields = [docs.schema[c] for c in kept_columns]
-    long, string = T.LongType(), T.StringType()
-    fields += [T.StructField("__id", long), T.StructField("__lines", long), T.StructField("__dropped", long), T.StructField("__kept", string)]
-    schema = T.StructType(fields)
+    """``docs``: id, text and whatever else; ``drops``: doc_id, drops. The columns of ``docs`` by
+    their places (c0, c1, ...), so that their names never matter, with the kept text in the second's
+    place, then ``lines`` and ``dropped``."""
+    docs = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    drops = drops.select(F.col("doc_id").alias("c0"), "drops").hint("shuffle_hash")
+    known = docs.where("c0 IS NOT NULL").join(drops, "c0", "left").select(*docs.columns, "drops")
+    both = known.union(docs.where("c0 IS NULL").withColumn("drops", F.lit(None).cast("array<binary>")))
+    schema = T.StructType([*docs.schema.fields, T.StructField("lines", T.LongType()), T.StructField("dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, dropped, kept = [], [], []
-            for text, gone in zip(batch.column("__text").to_pylist(), batch.column("__drops").to_pylist(), strict=True):
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column("drops").to_pylist(), strict=True):
                 text = text or ""
                 own = text.split("\n")
                 lines.append(len(own))
@@ -199,21 +226,23 @@ def _rewritten(docs: DataFrame, drops: DataFrame, min_chars: int, digests: bool)
                 else:
                     dropped.append(0)
                 kept.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-            new = [batch.column("__id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.record_batch([*(batch.column(c) for c in kept_columns), *new], [*kept_columns, "__id", "__lines", "__dropped", "__kept"])
+            columns = batch.columns[:-1]
+            columns[1] = pa.array(kept, pa.string())
+            yield pa.record_batch([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], schema.names)
 
     return both.mapInArrow(run, schema)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``text`` without the dropped lines; an ``n_chars`` column follows it."""
-    inner = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.col("text")}).drop("text")
+    others = [c for c in docs.columns if c != "text"]
+    inner = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(f"`{c}`") for c in others))
     done = _rewritten(inner, repeated_lines(docs, min_chars), min_chars, digests=False)
-    columns = [F.col("__kept").alias(c) if c == "text" else F.length("__kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return done.select(*columns)
+    place = {c: f"c{k + 2}" for k, c in enumerate(others)} | {"text": "c1"}
+    columns = [F.length("c1").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(place[c]) for c in docs.columns]
+    return done.select(*(column.alias(c) for column, c in zip(columns, docs.columns, strict=True)))
 
 
 def digest_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    inner = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"))
-    done = _rewritten(inner, repeated_lines(docs, min_chars), min_chars, digests=True)
-    return done.select(F.col("__id").alias("doc_id"), F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__kept").alias("kept_sha256"))
+    done = _rewritten(docs.select(F.col("doc_id").cast("long"), F.col("text")), repeated_lines(docs, min_chars), min_chars, digests=True)
+    return done.select(F.col("c0").alias("doc_id"), F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.col("c1").alias("kept_sha256"))
