@@ -6,11 +6,13 @@ counts of partially filled windows, over all levels, is least afterwards. The co
 with an entry for each level, so a placement is one vectorised pass over it. Of equal levels the
 fullest wins.
 
-Each task packs its own input partition, with its own level array; nothing is shuffled. When its
-input ends, the windows still open are joined end to end and cut again, so that at most one is left
-incomplete; that one is cut at powers of two, lengths that need no padding. Sequence ids hold the
-partition's number above 33 bits, and so a task that runs again after a lost executor gives the
-same rows. Open windows keep their ids in memory: few windows of ``window`` ids.
+Each task packs its own input partition, with its own level array; nothing is shuffled. Small
+partitions are read together, so that a task has some ``LEAST_DOCUMENTS``. When its input ends, the
+windows still open are finished by the same rule: the emptiest is dissolved and its pieces are placed
+in the others, cut where they fit in none, until one is left; that one is cut at powers of two,
+lengths that need no padding. Sequence ids hold the partition's number above 33 bits, and so a task
+that runs again after a lost executor gives the same rows. Open windows keep their ids in memory:
+few windows of ``window`` ids.
 
 Tokens are exact: words between white space do not depend on each other under the vocabulary's
 pattern, so that encoded words are kept and looked up. Texts with unusual white space or control
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
+#: Documents that a task should have at least, where there are so many.
+LEAST_DOCUMENTS = 2500
 #: Encoded words that a Python worker keeps, in two generations.
 CACHED_WORDS = 700_000
 LONGEST_CACHED = 64
@@ -115,6 +119,8 @@ class Packer:
         self.count[window] = -0.5
         self.open: list[list[list]] = [[] for _ in range(window)]  # by level, windows as lists of pieces
         self.rows: list[tuple] = []
+        #: Ids placed on arrival (without whole windows), and those placed again at the end.
+        self.placed = self.drained = 0
 
     def _close(self, pieces: list, length: int) -> None:
         offset = 0
@@ -125,41 +131,73 @@ class Packer:
         assert offset == length
         self.sequence += 1
 
+    def _level_for(self, size: int) -> tuple[int, float]:
+        """The level of an open window, with room for ``size``, whose use leaves the least sum of
+        squares, and that change, halved and less 1; level 0 if there is none."""
+        here = self.count[1 : self.window - size + 1]
+        change = np.where(here > 0, self.count[size + 1 :] - here, np.inf)
+        if not len(change):
+            return 0, np.inf
+        at = len(change) - 1 - int(change[::-1].argmin())
+        return (at + 1, float(change[at])) if change[at] < np.inf else (0, np.inf)
+
+    def _put(self, level: int, piece: tuple) -> None:
+        """Add a piece to a window of ``level`` (0: a new one)."""
+        pieces, filled = [piece], level + len(piece[2]) // 4
+        if level:
+            pieces = self.open[level].pop()
+            pieces.append(piece)
+            self.count[level] -= 1
+        if filled == self.window:
+            self._close(pieces, filled)
+        else:
+            self.open[filled].append(pieces)
+            self.count[filled] += 1
+
     def add(self, doc, ids: bytes) -> None:
         window, total, start = self.window, len(ids) // 4, 0
         while total - start >= window:
             self._close([(doc, start, ids[4 * start : 4 * (start + window)], total)], window)
             start += window
         size = total - start
-        if not size:
-            return
-        piece = (doc, start, ids[4 * start :], total)
-        count = self.count
-        here = count[1 : window - size + 1]
-        change = np.where(here > 0, count[size + 1 :] - here, np.inf)
-        level = 0
-        if len(change):
-            at = len(change) - 1 - int(change[::-1].argmin())
-            if change[at] <= count[size] - 0.5:
-                level = at + 1
-        pieces = [piece]
-        if level:
-            pieces = self.open[level].pop()
-            pieces.append(piece)
-            count[level] -= 1
-        if level + size == window:
-            self._close(pieces, window)
-        else:
-            self.open[level + size].append(pieces)
-            count[level + size] += 1
+        if size:
+            level, change = self._level_for(size)
+            self._put(level if change <= self.count[size] - 0.5 else 0, (doc, start, ids[4 * start :], total))
+            self.placed += size
 
     def drain(self) -> None:
-        """Join what is open, fullest first, and cut it at full windows, then at powers of two."""
-        left = [p for level in reversed(self.open) for pieces in level for p in pieces]
-        total = sum(len(p[2]) // 4 for p in left)
-        lengths = [self.window] * (total // self.window) + [1 << b for b in reversed(range(self.window.bit_length())) if (total % self.window) >> b & 1]
-        left.reverse()
-        for length in lengths:
+        """Windows still open are finished by the same rule: the emptiest is dissolved, and its
+        pieces are placed in the others; one that fits in none is cut to fill the fullest. The last
+        window is cut at powers of two."""
+        while True:
+            levels = np.flatnonzero(self.count[: self.window])
+            if not len(levels):
+                return
+            least = int(levels[0])
+            pieces = self.open[least].pop()
+            self.count[least] -= 1
+            self.drained += least
+            if len(levels) == 1 and not self.count[least]:
+                break
+            for k, (doc, start, ids, total) in enumerate(pieces):
+                while ids:
+                    level, _ = self._level_for(len(ids) // 4)
+                    room = len(ids) // 4
+                    if not level:
+                        fullest = np.flatnonzero(self.count[: self.window])
+                        if not len(fullest):
+                            break
+                        level = int(fullest[-1])
+                        room = self.window - level
+                    self._put(level, (doc, start, ids[: 4 * room], total))
+                    start, ids = start + room, ids[4 * room :]
+                if ids:  # no window is left: the rest begins one
+                    for rest in [(doc, start, ids, total), *pieces[k + 1 :]]:
+                        level, _ = self._level_for(len(rest[2]) // 4)
+                        self._put(level, rest)
+                    break
+        left = list(reversed(pieces))
+        for length in [1 << b for b in reversed(range(self.window.bit_length())) if least >> b & 1]:
             taken, need = [], length
             while need:
                 doc, start, ids, doc_tokens = left.pop()
@@ -170,14 +208,13 @@ class Packer:
                 taken.append((doc, start, ids, doc_tokens))
                 need -= n
             self._close(taken, length)
-        self.open = [[] for _ in range(self.window)]
-        self.count[: self.window] = 0
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
     """A row for each piece: where it starts in its document, its length, checksum and place;
     with ``with_ids`` also its ids."""
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    chosen = chosen.coalesce(max(1, docs.count() // LEAST_DOCUMENTS))  # joins input splits, without a shuffle
     end = np.array([end_id], "<u4").tobytes()
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
