@@ -1,7 +1,10 @@
 """Operator 2, media columns: texts as progressive JPEG pictures and RGB tensors.
 
-``encode_media`` gives each row's payload and picture, ``decode_media`` reads pictures back into
-tensors, and ``digest_documents`` does both in one pass and keeps digests and features.
+``encode_media`` gives each row's picture, ``decode_media`` reads pictures back into tensors and
+payloads, and ``digest_media`` reads them back and keeps digests and features. ``digest_documents``
+writes the pictures as a media column in the shared folder and digests what it reads from there; the
+tensors of a task's pictures are made one by one and not written, as they are twice as large as the
+texts.
 
 A payload is the text in UTF-8, filled with bytes 255 up to a positive multiple of 576. How it is
 stored without loss: see ``jpeg``. Features come from the decoded full-resolution tensor: size,
@@ -10,7 +13,7 @@ mean and deviation of each colour, and a 64-bit hash of brightness over an 8 x 8
 Defined results: a null text is the empty one (576 bytes 255); texts of any length are stored whole,
 up to 6 GB; equal texts have equal values; repeated rows and null ids stay; other columns are
 ignored; an empty input gives no rows; a stream that is no such picture raises ``ValueError``.
-No shuffle; a task holds one picture at a time.
+No shuffle; a task holds one tensor at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import jpeg
+from tessera.llm.common import materialise
 
 UNIT = 576
 
@@ -79,23 +83,25 @@ def decode_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame) -> DataFrame:
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def digest_media(media: DataFrame) -> DataFrame:
+    """``media``: doc_id, n_bytes, media, as ``encode_media`` gives them."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def digest(text: str | None) -> tuple:
-        n, payload = payload_of(text)
-        media = jpeg.encode_payload(payload)
-        picture = jpeg.decode(media)
+    def digest(stored: bytes) -> tuple:
+        picture = jpeg.decode(stored)
         back = jpeg.read_payload(picture)
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(jpeg.to_rgb(picture))
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(jpeg.to_rgb(picture))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            rows = [digest(t) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+            rows = [digest(stored.as_py()) for stored in batch.column(2)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.record_batch([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
-    return chosen.mapInArrow(run, schema)
+
+def digest_documents(docs: DataFrame) -> DataFrame:
+    return digest_media(materialise(encode_media(docs), "media"))
