@@ -19,6 +19,9 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm.common import fresh
 
 TABLE_SIZE = 65_537
 SHARDS = 64
@@ -68,17 +71,17 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 def assign_shards(df: DataFrame, key: str, names: list[str] | None = None, size: int = TABLE_SIZE) -> DataFrame:
     """``df`` with ``slot`` (int) and ``shard`` (the name): a map-side lookup, no shuffle."""
     names = shard_names() if names is None else names
+    at, free, found = fresh(df, "at", "free_slot", "found_shard")
     rows = [(slot, names[i]) for slot, i in enumerate(lookup_table(names, size))]
-    table = df.sparkSession.createDataFrame(rows, "__slot int, __shard string").coalesce(1)
-    placed = df.withColumn("__at", slot_of(F.col(key), size))
-    joined = placed.join(F.broadcast(table), placed["__at"] == table["__slot"])
-    kept = [F.col(c) for c in df.columns if c not in ("slot", "shard")]
-    return joined.select(*kept, F.col("__at").alias("slot"), F.col("__shard").alias("shard"))
-
-
-def write_shards(df: DataFrame, key: str, path: str, files_per_shard: int = 1, **options) -> None:
-    """Write a folder for each shard. Rows of a shard are spread over ``files_per_shard`` tasks
-    by a hash of their slot, so that no task takes more than its part of a shard."""
-    placed = assign_shards(df, key, **options)
-    part = F.pmod(F.xxhash64("slot"), F.lit(files_per_shard))
-    placed.repartition("shard", part).drop("slot").write.partitionBy("shard").parquet(path)
+    table = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(free, T.IntegerType()), T.StructField(found, T.StringType())])).coalesce(1)
+    placed = df.withColumn(at, slot_of(F.col(key), size))
+    joined = placed.join(F.broadcast(table), F.col(at) == F.col(free))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    return joined.select(*kept, F.col(at).alias("slot"), F.col(found).alias("shard"))
+
+
+def write_shards(df: DataFrame, key: str, path: str, **options) -> None:
+    """Write a folder for each shard. Rows are dealt by shard; large shards, and hot keys with them,
+    are split over several tasks by their measured size (an adaptive rebalancing), and small ones
+    share a task."""
+    assign_shards(df, key, **options).drop("slot").hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(path)
