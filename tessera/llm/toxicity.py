@@ -12,6 +12,11 @@ lexicon, a half the trees and the rest the calibration, so that neither trusts w
 has memorised. Labelled rows are joined by a broadcast of their ids, at most that bound; the scoring
 pass over all documents is one map without a shuffle.
 
+The learned lexicon is a part of the model and has parameters of its own: at most ``ENTRIES`` entries,
+chosen among the ``CANDIDATES`` words and stems that most toxic training documents hold; words of more
+than ``LONGEST_WORD`` characters enter it by their stems alone. They bound the model, and no document
+or word is left out of a score.
+
 Defined results: null and empty texts get a score like any other; a document with several labels
 has the largest; null labels and labels without a document are ignored; without both classes among
 the training rows every score is the share of toxic ones (0 without rows); repeated rows get equal
@@ -35,9 +40,9 @@ from tessera.llm.common import held_out, materialise
 
 LABELLED_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_ROWS = 80, 3, 32, 0.2, 8
-#: Stems are prefixes of these lengths; a lexicon has at most so many entries.
+#: Stems are prefixes of these lengths; bounds of the learned lexicon.
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9)
-CANDIDATES, ENTRIES = 20_000, 600
+CANDIDATES, ENTRIES, LONGEST_WORD = 20_000, 600, 40
 LEAST_DOCUMENTS, LEAST_PRECISION, LEAST_GAIN = 4, 0.4, 12.0
 
 # Common insults, second-person words of four languages, and letters that other
@@ -91,7 +96,7 @@ class Lexicon:
 
 def entries(words: set[str]) -> set[tuple[str, bool]]:
     """What of a document may enter the lexicon: (text, whether it is a stem)."""
-    found = {(w, False) for w in words if len(w) <= 40}
+    found = {(w, False) for w in words if len(w) <= LONGEST_WORD}
     for n in STEM_LENGTHS:
         found.update((w[:n], True) for w in words if len(w) >= n)
     return found
