@@ -49,7 +49,7 @@ SHARES, RATES = (1, 3, 4), (gru.RATE, gru.RATE, gru.RATE / 2)
 FOLD = 1
 #: Distinct words a counting task holds before it hands them on; symbols that lie in lanes at once;
 #: rows whose words are taken apart at a time; rows of an output batch.
-HELD_WORDS, HELD_SYMBOLS, ROWS, MANY = 600_000, 1_500_000, 2048, 100_000
+HELD_WORDS, HELD_SYMBOLS, ROWS, MANY = 600_000, 1_500_000, 768, 100_000
 PIECE, SPREAD = 8192, 16
 #: Steps of the count in an octave; counts up to 64 have steps of their own.
 STEPS = 64
@@ -109,7 +109,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         rows = merged = 0
 
         def merge() -> pa.Table:
-            both = pa.concat_tables(held).group_by("word").aggregate([("c", "sum"), ("t", "sum")])
+            both = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum"), ("t", "sum")])
             return both.select(["word", "c_sum", "t_sum"]).rename_columns(names)
 
         for batch in sliced(batches):
