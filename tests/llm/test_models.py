@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -179,6 +180,30 @@ def test_collision_search(spark):
     assert ann.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_wide_windows_are_counted_cheaply():
+    """A whole search costs less than one and a half counts of its collisions by projections."""
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((8192, 64))
+    tile = ann.Tile(np.arange(8192), vectors, 10)
+    lines = tile.sorted.shape[0]
+    lo, hi = np.sort(rng.integers(0, 8193, (2, lines)), axis=0)
+    lo[:2], hi[:2] = 0, (0, 8192)  # an empty window and one of all
+    counts = np.zeros(8192, np.int16)
+    tile._collide(counts, lo, hi)
+    assert (tile._collide_all(lo, hi) == counts).all()
+    projected = (tile.vectors @ ann.lines(64)).T.astype(np.float32)
+    spent = [0.0, 0.0]
+    for q in range(0, 8192, 400):
+        at = time.process_time()
+        tile.search(q, vectors[q])
+        between = time.process_time()
+        counts = np.zeros(8192, np.int16)
+        for line, m in zip(projected, vectors[q] @ ann.lines(64), strict=True):
+            counts += np.abs(line - np.float32(m)) <= np.float32(8)
+        spent = [spent[0] + between - at, spent[1] + time.process_time() - between]
+    assert spent[0] < 1.5 * spent[1]
+
+
 # 7
 
 
