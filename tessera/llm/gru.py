@@ -297,15 +297,17 @@ class Model:
         to_z *= z * (1 - z)
         to_r = un * r
         to_r *= 1 - r
-        d_gates = np.empty((steps, wide, 3 * size), n.dtype)
-        d_n = np.empty_like(n)
+        part, dn = np.empty((wide, 3 * size), n.dtype), np.empty((wide, size), n.dtype)
+        d_embedded = np.empty((steps, wide, p["embedding"].shape[1]), n.dtype)
         d_next = np.zeros((wide, size), n.dtype)
-        up = p["recurrent"].T.copy()
+        up, down = p["recurrent"].T.copy(), p["input"].T.copy()
+        d_recurrent, d_input = np.zeros_like(up), np.zeros_like(down)
+        ones = self.ones_of(wide)
+        grads["bias"][:] = 0
         anew = first.any(1)
         for t in reversed(range(steps)):
             dh = d_hidden[t]
             dh += d_next
-            dn, part = d_n[t], d_gates[t]
             np.multiply(dh, to_n[t], out=dn)
             np.multiply(dh, to_z[t], out=part[:, :size])
             np.multiply(dn, to_r[t], out=part[:, size : 2 * size])
@@ -315,16 +317,19 @@ class Model:
             d_next += dh
             if anew[t]:
                 d_next[first[t]] = 0
-        np.sum(np.matmul(before.transpose(0, 2, 1), d_gates), 0, out=grads["recurrent"])
-        d_gates[:, :, 2 * size :] = d_n
-        rows, symbols = d_gates.reshape(-1, 3 * size), inputs.ravel()
+            # The weights' gradients are added while the step's are in the processor's cache.
+            d_recurrent += part.T @ before[t]
+            part[:, 2 * size :] = dn
+            np.matmul(part, down, out=d_embedded[t])
+            d_input += part.T @ p["embedding"][inputs[t]]
+            grads["bias"] += ones @ part
+        grads["recurrent"][:], grads["input"][:] = d_recurrent.T, d_input.T
+        symbols = inputs.ravel()
         order = np.argsort(symbols.astype(np.int16) if self.start < 32_768 else symbols, kind="stable")
         ordered = symbols[order]
         at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         grads["embedding"][:] = 0
-        grads["embedding"][ordered[at]] = np.add.reduceat((rows @ p["input"].T.copy())[order], at, axis=0)
-        np.matmul(p["embedding"][symbols].T, rows, out=grads["input"])
-        np.matmul(self.ones_of(len(rows)), rows, out=grads["bias"])
+        grads["embedding"][ordered[at]] = np.add.reduceat(np.take(d_embedded.reshape(len(symbols), -1), order, axis=0), at, axis=0)
 
     def update(self, g: np.ndarray, rate: float) -> None:
         """One step of Adam, the gradient's norm held down."""
