@@ -114,7 +114,9 @@ def _drawn(blocks: DataFrame, centres: np.ndarray, wanted: float, seed: int) ->
     held = blocks.sparkSession.sparkContext.broadcast(centres)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.record_batch([pa.array([sum(float(nearest(v, held.value)[1].sum()) for _, v in _blocks(batches))])], ["d"])
+        # Of a task without blocks, which a split file leaves, the sum must be a float too.
+        whole = sum((float(nearest(v, held.value)[1].sum()) for _, v in _blocks(batches)), 0.0)
+        yield pa.record_batch([pa.array([whole], pa.float64())], ["d"])
 
     whole = blocks.mapInArrow(total, "d double").agg(F.sum("d")).first()[0] or 0.0
     if not whole > 0:

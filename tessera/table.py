@@ -270,8 +270,8 @@ class VectorTable:
     # Search
 
     def search(self, vector: Sequence[float], k: int = 1, tag: int = 0, pad: bool = False, strict: bool = False) -> DataFrame:
-        """The k best rows. Type HNSW searches approximately, by cells of the snapshot, whose
-        number and breadth the parameters give; with a tag, exactly."""
+        """The k best rows. Type HNSW reads cells of the snapshot: first the nearest ones, whose number
+        and breadth the parameters give, then all that may hold a nearer row; with a tag, all rows."""
         began = time.monotonic()
         self._check_vector(vector)
         if self.type is IndexType.HNSW_INDEX and tag == 0:
@@ -285,12 +285,22 @@ class VectorTable:
         return found
 
     def _near(self, vector: Sequence[float], k: int) -> DataFrame:
-        """Rows of the cells near a vector, and all rows that were changed since they were made."""
+        """Rows of all cells that may hold one of the k best, and all rows that were changed since the
+        cells were made. The k-th distance within the nearest cells tells which these are."""
         if self.cells is None:
             if self.began_empty or self.snapshot.isEmpty():
                 return self.state()
             self.cells = CellIndex.for_table(self.snapshot, self.params)
-        near = self.cells.near(vector, k, self.method, self.params).select("id", "tag", "vector")
+        best = search.knn(self._changed(self.cells.near(vector, k, self.method, self.params)), vector, k, self.method, dims=self.dims)
+        worst = F.max("distance") if self.method.smaller_is_better else F.min("distance")
+        seen = best.where(~F.isnan("distance")).agg(F.count("*").alias("n"), worst.alias("worst")).first()
+        if seen["n"] < k:
+            return self.state()
+        return self._changed(self.cells.within(vector, self.method, seen["worst"]))
+
+    def _changed(self, near: DataFrame) -> DataFrame:
+        """Some rows of the snapshot, and all rows of the log and the buffer."""
+        near = near.select("id", "tag", "vector")
         if self.log is not None:
             near = oplog.state(self.snapshot, self.log, self.changes, "id", ["tag", "vector"], "tag", near)
         return self._overlaid(near)
