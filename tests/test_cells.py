@@ -28,6 +28,13 @@ def test_tasks_without_rows(split, name):
     assert sorted(tuple(r[c] for c in result.columns) for r in found.collect()) == sorted(result.fetchall())
 
 
+def test_probes_and_tasks_without_rows(split):
+    found = {r["id"]: r["distance"] for r in catalogue.queries()["ivf_search_nprobe"](split, SF).collect()}
+    rows = catalogue.scaled_table(split, SF)
+    exact = {r["id"]: r["distance"] for r in VectorTable(split, 64, snapshot=rows).search(catalogue.vector_of(rows, 42), 500).collect()}
+    assert len(found) == 10 and found.items() <= exact.items()
+
+
 @pytest.mark.parametrize("method", list(Method))
 def test_cells_lose_no_row(spark, method):
     """Vectors without structure, of which the nearest cells hold a part only."""
