@@ -19,7 +19,7 @@ def split(spark):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize("name", ["hnsw_search", "hnsw_search_after_changes", "ivf_search_all_cells"])
+@pytest.mark.parametrize("name", ["hnsw_search", "hnsw_search_after_changes", "ivf_search_all_cells", "ivf_search_tagged"])
 def test_tasks_without_rows(split, name):
     found = catalogue.queries()[name](split, SF)
     con = duckdb.connect()
