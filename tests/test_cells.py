@@ -35,6 +35,11 @@ def test_probes_and_tasks_without_rows(split):
     assert len(found) == 10 and found.items() <= exact.items()
 
 
+def test_centroids_and_tasks_without_rows(split):
+    found = catalogue.queries()["kmeans_centroids"](split, SF).collect()
+    assert sorted(r["id"] for r in found) == list(range(1, 9)) and np.isfinite([r["vector"] for r in found]).all()
+
+
 @pytest.mark.parametrize("method", list(Method))
 def test_cells_lose_no_row(spark, method):
     """Vectors without structure, of which the nearest cells hold a part only."""
