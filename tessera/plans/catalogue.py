@@ -490,7 +490,7 @@ def shown(df: DataFrame) -> DataFrame:
 
 @query("WITH k AS (SELECT url FROM pages WHERE page_id % 3 = 0) SELECT url AS key, md5(html) AS digest FROM pages WHERE url IN (SELECT url FROM k)")
 def kv_get(spark, sf_dir):
-    keys = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 3 = 0").select(F.col("url").alias("key"))
+    keys = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 3 = 0 AND url IS NOT NULL").select(F.col("url").alias("key")).distinct()
     return page_table(spark, sf_dir).get_batch(keys).select(F.col("key").cast("string").alias("key"), F.md5("value").alias("digest"))
 
 
