@@ -1,7 +1,8 @@
 """Exact nearest-neighbour search and ranking over vector tables (``id``, ``tag``, ``vector``).
 
 One query plans as ``TakeOrderedAndProject``; many queries go through an Arrow kernel that takes
-a block of rows against a block of queries, keeps k rows a query, and is merged by a window.
+a block of rows against a block of queries, keeps k rows a query, and is merged by a window. Its memory
+is that of one such block and of the rows kept.
 """
 
 from __future__ import annotations
@@ -19,9 +20,14 @@ from tessera.types import InvalidArgument, InvalidDimensions, InvalidVector, Met
 
 #: Distances are rounded to so many places, so that they do not depend on the order of adding.
 PLACES = 6
-#: Queries that the kernel takes at a time, and the most bytes of queries that are broadcast.
-QUERY_BLOCK = 1024
+#: Queries and rows that the kernel compares at a time, pairs that it measures at a time, and the most bytes of
+#: queries that are broadcast.
+QUERY_BLOCK, ROW_BLOCK, PAIRS = 512, 2048, 1 << 15
 BROADCAST_BYTES = 8 << 20
+#: A little more than rounding moves two distances apart.
+STEP = 2 * 10.0**-PLACES
+#: What the order of adding may move a product by, as a share of the lengths.
+SLACK = 1e-10
 
 
 def distance(method: Method | str | int, a: Column, b: Column) -> Column:
@@ -85,13 +91,6 @@ def _scores(method: Method, rows: np.ndarray, queries: np.ndarray) -> np.ndarray
     return (qn * qn)[:, None] + (rn * rn)[None, :] - 2 * product  # the squared distance, for the choice only
 
 
-def _exact(method: Method, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    if method is Method.L2NORM:
-        gap = rows - query
-        return np.sqrt((gap * gap).sum(1))
-    return _scores(method, rows, query[None])[0]
-
-
 def knn_batch(table: DataFrame, queries: DataFrame, k: int, method: Method | str | int = Method.L2NORM, exclude_self: bool = False) -> DataFrame:
     """``query_id``, ``rank``, ``id``, ``distance`` for ``queries`` (``id``, ``vector``).
 
@@ -111,7 +110,7 @@ def knn_batch(table: DataFrame, queries: DataFrame, k: int, method: Method | str
         chosen = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
         rows = chosen.select("id", "vector").toArrow()
         ids = rows["id"].to_numpy()
-        vectors = np.array(rows["vector"].to_pylist(), np.float32).reshape(len(ids), -1)
+        vectors = np.array(rows["vector"].to_pylist(), np.float32).reshape(len(ids), size["dims"] or 0)
         held = spark.sparkContext.broadcast((ids, vectors))
         one = table.select("id", "vector").mapInArrow(_kernel(held, k, method, exclude_self), schema)
         if parts > 1:
@@ -129,32 +128,88 @@ def _best(found: DataFrame, k: int, method: Method) -> DataFrame:
 
 
 def _kernel(held, k: int, method: Method, exclude_self: bool):
-    keep = k + 8 + exclude_self  # room for what rounding in the product may swap
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = held.value
-        wide = vectors.astype(np.float64)
         sign = 1 if method.smaller_is_better else -1
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        # Per query the k best so far, best first, as signed rounded distances; NaN is the worst.
+        # As many places as there were rows, up to k.
+        best_d, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        filled = np.zeros(len(ids), np.int64)
         for batch in batches:
-            row_ids = batch.column(0).to_numpy()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(len(row_ids), -1) if len(row_ids) else flat.reshape(0, wide.shape[1])
-            for at in range(0, len(ids), QUERY_BLOCK):
-                scores = sign * _scores(method, rows, wide[at : at + QUERY_BLOCK])
-                near = np.argpartition(scores, keep - 1, axis=1)[:, :keep] if scores.shape[1] > keep else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-                for q, chosen in enumerate(near, at):
-                    # Ties with the last chosen row stay in, so that the smaller id can win.
-                    limit = scores[q - at, chosen].max() + 1e-9 if len(chosen) else 0
-                    if scores.shape[1] > keep and (tied := np.flatnonzero(scores[q - at] <= limit)).size > keep:
-                        tied = tied[np.argsort(row_ids[tied], kind="stable")]
-                        strict = scores[q - at, tied] < limit - 2e-9
-                        chosen = np.concatenate([tied[strict], tied[~strict][:keep]])
-                    exact = np.round(_exact(method, rows[chosen], wide[q]), PLACES)
-                    pairs = [(sign * float(d), int(i)) for d, i in zip(exact, row_ids[chosen], strict=True) if not (exclude_self and i == ids[q])]
-                    best[q] = sorted(best[q] + pairs)[:k]
-        out = [(int(ids[q]), i, sign * d + 0.0) for q, pairs in enumerate(best) for d, i in pairs]
-        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-        yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "id", "distance"])
+            all_ids = batch.column(0).to_numpy()
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            whole = flat.reshape(len(all_ids), -1) if len(all_ids) else flat.reshape(0, vectors.shape[1])
+            if more := min(k - best_d.shape[1], len(all_ids)):
+                best_d = np.pad(best_d, ((0, 0), (0, more)), constant_values=np.nan)
+                best_id = np.pad(best_id, ((0, 0), (0, more)))
+            for begin in range(0, len(all_ids), ROW_BLOCK):
+                row_ids, rows = all_ids[begin : begin + ROW_BLOCK], whole[begin : begin + ROW_BLOCK].astype(np.float64)
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    own = slice(at, min(at + QUERY_BLOCK, len(ids)))
+                    queries = vectors[own].astype(np.float64)
+                    scores = sign * _scores(method, rows, queries)
+                    itself = row_ids[None, :] == ids[own, None] if exclude_self else None
+                    limit = _limit(method, scores, itself, queries, rows, best_d[own], k)
+                    may = ~(scores > limit[:, None])
+                    if itself is not None:
+                        may &= ~itself
+                    for q, r in _pairs(may):
+                        d = sign * np.round(_exact_pairs(method, rows, queries, q, r), PLACES)
+                        _merge(best_d[own], best_id[own], filled[own], q, d, row_ids[r], k)
+        for at in range(0, len(ids), QUERY_BLOCK):
+            there = np.arange(best_d.shape[1])[None, :] < filled[at : at + QUERY_BLOCK, None]
+            q, place = np.nonzero(there)
+            yield pa.record_batch([pa.array(ids[at + q]), pa.array(best_id[at + q, place]), pa.array(sign * best_d[at + q, place] + 0.0)], ["query_id", "id", "distance"])
 
     return run
+
+
+def _limit(method: Method, scores: np.ndarray, itself: np.ndarray | None, queries: np.ndarray, rows: np.ndarray, best: np.ndarray, k: int) -> np.ndarray:
+    """For each query the largest score that can still be one of the k best: the k-th so far or of these
+    rows, and what rounding may move it by."""
+    kth = best[:, k - 1] + STEP if best.shape[1] == k else np.full(len(best), np.nan)  # as distances; NaN while there are fewer
+    squared = method is Method.L2NORM
+    size = np.sqrt((queries * queries).sum(1)) + np.sqrt((rows * rows).sum(1).max(initial=0))
+    limit = np.where(np.isnan(kth), np.inf, kth * kth if squared else kth)
+    open_ = np.flatnonzero(np.isinf(limit) | ((scores <= limit[:, None]).sum(1) > 4 * k))
+    need = k if itself is None else k + 1
+    if len(open_) and scores.shape[1] > need:
+        here = np.partition(scores[open_], need - 1, axis=1)[:, need - 1]
+        if squared:
+            here = (np.sqrt(np.maximum(here, 0) + SLACK * size[open_] ** 2) + STEP) ** 2
+        limit[open_] = np.fmin(limit[open_], here if squared else here + STEP)
+    return limit + SLACK * size * size
+
+
+def _pairs(may: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of what is true, a bounded number at a time."""
+    flat = np.flatnonzero(may)
+    for begin in range(0, len(flat), PAIRS):
+        yield np.divmod(flat[begin : begin + PAIRS], may.shape[1])
+
+
+def _exact_pairs(method: Method, rows: np.ndarray, queries: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    a, b = rows[r], queries[q]
+    if method is Method.L2NORM:
+        gap = a - b
+        return np.sqrt((gap * gap).sum(1))
+    product = (a * b).sum(1)
+    if method is Method.DOTP:
+        return product
+    scale = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+    return np.divide(product, scale, out=np.zeros_like(product), where=scale != 0)
+
+
+def _merge(best_d: np.ndarray, best_id: np.ndarray, filled: np.ndarray, q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """Some pairs of queries and rows into the k best of each query, in place."""
+    touched = np.unique(q)
+    old_q, place = np.nonzero(np.arange(best_d.shape[1])[None, :] < filled[touched, None])
+    all_q = np.concatenate([touched[old_q], q])
+    all_d = np.concatenate([best_d[touched][old_q, place], d])
+    all_id = np.concatenate([best_id[touched][old_q, place], ids])
+    order = np.lexsort((all_id, all_d, all_q))
+    all_q, all_d, all_id = all_q[order], all_d[order], all_id[order]
+    rank = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
+    kept = rank < k
+    best_d[all_q[kept], rank[kept]], best_id[all_q[kept], rank[kept]] = all_d[kept], all_id[kept]
+    filled[touched] = np.minimum(k, np.bincount(all_q, minlength=len(filled))[touched])
