@@ -22,7 +22,9 @@ from tessera.types import InvalidArgument
 #: Bytes of centroids that are broadcast at a time; more are taken in several passes.
 BROADCAST_BYTES = 32 << 20
 #: Rows of a packed block; rows compared at a time; rounds of seeding and seeds a round, by k.
-BLOCK, ROWS, SEED_ROUNDS, OVERSAMPLED = 8192, 4096, 3, 2
+BLOCK, ROWS, SEED_ROUNDS, OVERSAMPLED = 512, 4096, 3, 2
+#: A reader takes a row group's blocks at once; its writer counts bytes from the 100th block on only.
+GROUP_BYTES = 16 << 20
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -97,7 +99,7 @@ def packed(table: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([batch.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([vectors.tobytes()]), pa.array([batch.num_rows], pa.int64())], ["ids", "vectors", "n"])
 
     path = store.scratch(table.sparkSession, "blocks")
-    table.select("id", "vector").where("vector IS NOT NULL").mapInArrow(run, "ids binary, vectors binary, n long").write.parquet(path)
+    table.select("id", "vector").where("vector IS NOT NULL").mapInArrow(run, "ids binary, vectors binary, n long").write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return table.sparkSession.read.parquet(path)
 
 

@@ -51,3 +51,14 @@ def test_cells_lose_no_row(spark, method):
     for q in vectors[:4].tolist():
         assert table.search(q, 10).collect() == exact.search(q, 10).collect()
     assert table.cells.within(vectors[0].tolist(), method, exact.search(vectors[0].tolist(), 1).first()["distance"]).count() < 3000
+
+
+def test_blocks_are_read_a_few_at_a_time(spark):
+    import pyarrow.parquet as pq
+
+    from tessera.operators import kmeans
+
+    rows = spark.range(1, 120_001, 1, 1).selectExpr("id", "transform(sequence(1, 64), x -> CAST(hash(id, x) AS FLOAT)) AS vector")
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kmeans.packed(rows).inputFiles()]
+    sizes = [m.row_group(g).total_byte_size for m in metas for g in range(m.num_row_groups)]
+    assert sum(sizes) > 40e6 and max(sizes) < 40e6
